@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dagloom.llm.licenses import op3_license_scan
 from dagloom.llm.mixing import op8_mixing
+from dagloom.llm.parity import OP6_SQL, op6_jaccard_join
 from dagloom.llm.secrets import op5_secret_scan
 from dagloom.llm.sharding import op10_sharding
 from dagloom.llm.substring import OP4_SQL, op4_substring_dedup
@@ -15,11 +16,13 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL = {
+    "op6_jaccard_join": OP6_SQL,
     "op4_substring_dedup": OP4_SQL,
 }
