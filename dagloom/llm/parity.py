@@ -105,10 +105,14 @@ class Bands:
 
     def _keys(self, s: np.ndarray, space: int) -> np.ndarray:
         blocks, light = self.space(space)
-        bit = ((s >> U64(32)) * U64(blocks << BLOCK_BITS)) >> U64(32)  # ascends with s
-        off = np.searchsorted(bit >> U64(BLOCK_BITS), np.arange(blocks + 1, dtype=U64))
-        toggled = np.zeros(len(s) + 1, U64)
-        np.bitwise_xor.accumulate(mix(bit + U64(space << 48)), out=toggled[1:])  # a bit hit twice cancels
+        width = min(BLOCK_BITS, 31 - blocks.bit_length())
+        bit = ((s >> U64(32)) * U64(blocks << width)) >> U64(32)  # ascends with s
+        if (bit[1:] == bit[:-1]).any():  # a bit that is toggled twice is not set
+            bit, times = np.unique(bit, return_counts=True)
+            bit = bit[times % 2 == 1]
+        off = np.searchsorted(bit >> U64(width), np.arange(blocks + 1, dtype=U64))
+        toggled = np.zeros(len(bit) + 1, U64)
+        np.bitwise_xor.accumulate(mix(bit + U64(space << 48)), out=toggled[1:])
         content = toggled[off[1:]] ^ toggled[off[:-1]]
         heavy = np.diff(off) >= 2
         keys = mix(content + mix(np.arange(blocks, dtype=U64) + U64(space << 32)))

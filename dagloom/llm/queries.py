@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dagloom.llm.decontaminate import op2_decontamination
 from dagloom.llm.licenses import op3_license_scan
 from dagloom.llm.mixing import op8_mixing
 from dagloom.llm.parity import OP6_SQL, op6_jaccard_join
@@ -13,6 +14,7 @@ from dagloom.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_telephony": op1_telephony,
+    "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_secret_scan": op5_secret_scan,
