@@ -6,6 +6,7 @@ from dagloom.llm.decontaminate import op2_decontamination
 from dagloom.llm.licenses import op3_license_scan
 from dagloom.llm.mixing import op8_mixing
 from dagloom.llm.parity import OP6_SQL, op6_jaccard_join
+from dagloom.llm.recurrent import op9_language_model
 from dagloom.llm.secrets import op5_secret_scan
 from dagloom.llm.sharding import op10_sharding
 from dagloom.llm.substring import OP4_SQL, op4_substring_dedup
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
+    "op9_language_model": op9_language_model,
     "op10_sharding": op10_sharding,
 }
 
