@@ -59,7 +59,7 @@ def _complete_edges(edges: DataFrame) -> DataFrame:
 def weight_of(metadata: Column) -> Column:
     """The weight in JSON metadata, else 1; a weight that is no number is an error, not a 1."""
     raw = F.get_json_object(metadata, "$.weight")
-    return F.when(raw.isNull(), F.lit(1)).when(raw.cast("double").isNull(), F.raise_error(F.concat(F.lit("weight is not a number: "), raw))).otherwise(raw.cast("long"))
+    return F.when(raw.isNull(), F.lit(1)).when(raw.try_cast("double").isNull(), F.raise_error(F.concat(F.lit("weight is not a number: "), raw))).otherwise(raw.cast("long"))
 
 
 @dataclass(frozen=True)

@@ -117,7 +117,9 @@ def _per_graph(graph: Graph, solve: Callable[[_Local], pd.DataFrame], schema: st
             return pd.DataFrame(columns=names)
         out = solve(_Local(nodes, edges))
         out.insert(0, "graph_id", key[0])
-        return out[names]
+        out = out[names]
+        # plain object columns become one Arrow array each
+        return out.astype({c: object for c in ("graph_id", "node_id") if c in out})
 
     return graph.nodes.groupBy("graph_id").cogroup(graph.edges.select("graph_id", "src", "dst", "weight").groupBy("graph_id")).applyInPandas(run, schema)
 
