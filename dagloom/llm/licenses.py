@@ -2,7 +2,8 @@
 
 All rolling word k-gram hashes of every document are joined to the positions of the same grams in
 license templates. A match votes for its template's offset diagonal (document position minus
-template position); a vote counts only if the gram's words are really those of the template.
+template position); a vote counts only if a second, independent hash proves the gram's words to be
+the template's.
 Neighbouring diagonals merge into one span, so inserted or dropped words do not break it, and a
 span is reported if enough of the template is verified inside it. Short phrases are templates of
 which every gram must lie on one diagonal.
@@ -22,14 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dagloom.llm.tokens import ALNUM, Texts, batches_of, list_array, windows, word_hashes
+from dagloom.llm.tokens import ALNUM, Texts, batches_of, rolling, windows, word_hashes
 
 K = 2
 #: diagonals at most so far apart belong to one span
 BAND = 3
 #: share of a template's grams that must be verified in a span
 COVERAGE = 0.5
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # Phrases and their labels.
 PHRASES = {
@@ -49,39 +49,35 @@ NOTICES = {
     "mpl-text": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
 }
 
-GRAMS = "row string, text string, grams array<long>, at array<int>, upto array<int>"
+GRAMS = "row long, pos int, gram long, proof long"
 
 
-def template_grams() -> list[tuple[str, str, int, int, int, str]]:
-    """(template, label, grams in it, position, hash, words) of every gram of every template."""
+def _grams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """k-gram hashes, independent second hashes of the same grams, positions, number for each text."""
+    starts, ends, counts = texts.words(ALNUM)
+    h, at = windows(word_hashes(texts.buf, starts, ends, lower=True), counts, K)
+    proof = rolling(word_hashes(texts.buf, starts, ends, lower=True, second=True), K)[at]
+    n = np.maximum(counts - K + 1, 0)
+    return h.view(np.int64), proof.view(np.int64), at - np.repeat(np.cumsum(counts) - counts, n), n
+
+
+def template_grams() -> list[tuple[str, str, int, int, int, int]]:
+    """(template, label, grams in it, position, hash, second hash) of every gram of every template."""
     out = []
-    for name, label, words in [(p, lab, p.split()) for p, lab in PHRASES.items()] + [(n, n, t.split()) for n, t in NOTICES.items()]:
-        texts = Texts.of_list([" ".join(words).encode()])
-        starts, ends, counts = texts.words(ALNUM)
-        h, at = windows(word_hashes(texts.buf, starts, ends, lower=True), counts, K)
-        out += [(name, label, len(h), int(p), int(np.int64(x)), " ".join(words[p : p + K])) for p, x in zip(at, h.view(np.int64), strict=True)]
+    for name, label, text in [(p, lab, p) for p, lab in PHRASES.items()] + [(n, n, t) for n, t in NOTICES.items()]:
+        h, proof, pos, n = _grams(Texts.of_list([text.encode()]))
+        out += [(name, label, int(n[0]), p, x, y) for p, x, y in zip(pos.tolist(), h.tolist(), proof.tolist(), strict=True)]
     return out
 
 
 def document_grams(docs: DataFrame) -> DataFrame:
-    """GRAMS rows: every k-gram hash of a document in order, and where in the text it lies."""
+    """GRAMS rows: every k-gram of every document."""
 
     def run(it):
-        for batch, texts in batches_of(it):
-            starts, ends, counts = texts.words(ALNUM)
-            h, at = windows(word_hashes(texts.buf, starts, ends, lower=True), counts, K)
-            n = np.maximum(counts - K + 1, 0)
-            base = np.repeat(texts.off[:-1], n)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    list_array(h.view(np.int64), n, pa.int64()),
-                    list_array((starts[at] - base).astype(np.int32), n, pa.int32()),
-                    list_array((ends[at + K - 1] - base).astype(np.int32), n, pa.int32()),
-                ],
-                names=["row", "text", "grams", "at", "upto"],
-            )
+        for batch, texts in batches_of(it, 1 << 20):
+            h, proof, pos, n = _grams(texts)
+            row = np.repeat(batch.column(0).to_numpy(), n)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(pos.astype(np.int32)), pa.array(h), pa.array(proof)], names=["row", "pos", "gram", "proof"])
 
     return docs.select("row", F.col("text").cast("string")).mapInArrow(run, GRAMS)
 
@@ -95,20 +91,16 @@ def document_words(docs: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(texts.words(ALNUM)[2], pa.int64())], names=["row", "doc_id", "n_words"]
             )
 
-    return docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row string, doc_id long, n_words long")
+    return docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, doc_id long, n_words long")
 
 
 def votes(grams: DataFrame) -> DataFrame:
     """One row for each verified match: (row, template, label, total, pos, tpos)."""
     spark = grams.sparkSession
     # bounded: one row for each gram of PHRASES and NOTICES
-    table = F.broadcast(spark.createDataFrame(template_grams(), "template string, label string, total int, tpos int, gram long, words string"))
-    each = grams.select("row", "text", "at", "upto", F.posexplode("grams").alias("pos", "gram"))
-    met = each.join(table, "gram")
-    # evaluated for matches only: the gram's own words against the template's
-    raw = F.substring(F.col("text").cast("binary"), F.element_at("at", F.col("pos") + 1) + 1, F.element_at("upto", F.col("pos") + 1) - F.element_at("at", F.col("pos") + 1))
-    own = F.regexp_replace(F.translate(raw.cast("string"), UPPER, UPPER.lower()), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    return met.where(own == F.col("words")).select("row", "template", "label", "total", F.col("pos").cast("long").alias("pos"), "tpos")
+    table = F.broadcast(spark.createDataFrame(template_grams(), "template string, label string, total int, tpos int, gram long, tproof long"))
+    met = grams.join(table, "gram").where(F.col("proof") == F.col("tproof"))
+    return met.select("row", "template", "label", "total", F.col("pos").cast("long").alias("pos"), "tpos")
 
 
 def spans(found: DataFrame) -> DataFrame:
@@ -133,7 +125,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and the
     reported spans as an array of (template, label, start, end, score)."""
     # equal rows share a key, vote for the same places and get the same result each
-    rows = docs.select("doc_id", "text", F.concat_ws(":", F.col("doc_id"), F.xxhash64("text")).alias("row"))
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     found = spans(votes(document_grams(rows)))
     is_phrase = F.col("template").isin(*PHRASES)
     place = is_phrase & (F.col("score") >= 1)

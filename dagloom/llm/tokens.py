@@ -42,7 +42,7 @@ _WORD_POW, _WORD_INV = _tables(_WINDOW_BASE)
 _BYTE_VALUE = mix(np.arange(256, dtype=U64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_VALUE_LOWER = _BYTE_VALUE[_LOWER]
+_SECOND_VALUE = mix(np.arange(256, 512, dtype=U64))
 
 #: Words [^\x20\x09-\x0D]+
 NON_SPACE = np.ones(256, bool)
@@ -118,9 +118,11 @@ class Texts:
         return starts, ends, np.diff(np.searchsorted(starts, self.off))
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of the words buf[starts[i]:ends[i]]."""
-    value = _BYTE_VALUE_LOWER if lower else _BYTE_VALUE
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, second: bool = False) -> np.ndarray:
+    """64-bit hashes of the words buf[starts[i]:ends[i]]. `second` takes other byte values, for a
+    hash that is independent of the first."""
+    value = _SECOND_VALUE if second else _BYTE_VALUE
+    value = value[_LOWER] if lower else value
     out = np.empty(len(starts), U64)
     i = 0
     while i < len(starts):
