@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps. Spark deletes them when the driver's garbage
+    collector finds their plans unreachable; a long job of several steps would otherwise keep the
+    files of all of them on disk. Results that were `cut` before stay."""
+    for _ in range(2):  # Python's references first, then those that they held in the JVM
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
