@@ -24,9 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by Jaccard 0.8 on five-word shingles stays: the one of
     the smallest doc_id, with all its rows if it has several. Documents without words are no
-    copies of each other and stay."""
+    copies of each other and stay, and so do rows without a doc_id, which nothing could name."""
     found = parity.near_duplicates(docs, n=5, p=80, q=100)
-    gone = found.where("n_shingles > 0 AND NOT (doc_id <=> component_id)").select(F.struct("doc_id").alias("__id")).distinct()
+    gone = found.where("n_shingles > 0 AND doc_id <> component_id").select(F.struct("doc_id").alias("__id")).distinct()
     kept = docs.withColumn("__id", F.struct("doc_id")).join(gone, "__id", "left_anti").drop("__id")
     return kept
 
