@@ -3,13 +3,15 @@
 Two sets of a and b shingles with Jaccard similarity p/q or more differ in at most
 d = (a + b)(q - p) / (q + p) shingles. A set's shingles toggle bits of a sketch, so the Hamming
 distance of two sketches is at most the size of the sets' difference. Sets are put into geometric
-size bands; for a band (and the one below) the sketch is cut into d + 1 + L blocks, so by the
-pigeonhole principle L + 1 blocks at least agree in a linked pair. A block's key is the XOR of
-hashes of its set bits. Blocks with fewer than two bits say next to nothing and are not sent by a
-set that has at most L of them: one of its L + 1 agreeing blocks is then a heavier one.
+size bands; for a band (and the one below) the sketch is cut into d + 3 + L blocks, so by the
+pigeonhole principle L + 3 blocks at least agree in a linked pair. A block's key is the XOR of
+hashes of its set bits. Light blocks, those without a bit besides those of passages that very many
+documents share, say next to nothing and are not sent by a set that has at most L of them: three of
+its L + 3 agreeing blocks are then heavier ones. Sets of so few shingles that most blocks would be
+empty send their first shingles in hash order instead, as many as a linked set must meet.
 
 Sets that share a key are candidates and are verified on the shingles themselves. Equal sets are
-collapsed first. In a small group of candidates all pairs are verified; a large one sends a star
+collapsed first. Of small groups, pairs that share three keys are verified; a large one sends a star
 around one member, and then only members not linked to the centre are held, in chunks, against the
 others, by the shingles in which they differ from the centre. So no group is gathered whole in one
 task for its keys, nor are its pairs emitted, and every link between different sets that joins two
@@ -30,16 +32,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dagloom.llm.blocks import NULL_ID
+from dagloom.llm.blocks import NULL_ID, pack_keys, split, unpack_keys
 from dagloom.llm.tokens import U64, Texts, batches_of, fold, list_array, mix, windows, word_hashes
-from dagloom.session import cut
+from dagloom.session import cut, release
 
 #: bits of a sketch's block
 BLOCK_BITS = 16
-#: a group of candidates up to this size has all its pairs verified, a larger one a star
-SMALL = 16
+#: a group of candidates up to this size sends all its pairs, a larger one a star
+SMALL = 6
+#: keys that linked sets share at least
+SUPPORT = 3
 #: unlinked members of a star in one task
 CHUNK = 1024
+#: a key that so many sets of one batch hold goes to one of SPREAD buckets beside the others
+HOT, SPREAD, PROXY = 32, 1 << 10, np.iinfo(np.int64).min
+KEYS_PER_BUCKET = 1 << 20
+#: sample in which common shingles are looked for, and in how many of its sets they are common;
+#: the share of a set's shingles that the light allowance expects not to be common
+SAMPLE, COMMON, RARE_SHARE = 8192, 6, 0.85
 
 
 def shingle_sets(texts: Texts, n: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -64,10 +74,14 @@ def shingle_sets(texts: Texts, n: int) -> tuple[list[np.ndarray], np.ndarray]:
 class Bands:
     """Blocks and light allowance of each space of size bands for similarity p/q."""
 
-    def __init__(self, p: int, q: int):
+    def __init__(self, p: int, q: int, common: np.ndarray | None = None):
+        """common: shingles that many documents share. Bits that they toggle do not make a block
+        heavy; any list gives the same links, a good one fewer candidates."""
         self.p, self.q = p, q
+        self._common = np.empty(0, U64) if common is None else common
         self._step = np.log(q / p)
         self._made: dict[int, tuple[int, int]] = {}
+        self._common_bits: dict[int, np.ndarray] = {}
 
     def most_apart(self, a, b):
         """The largest symmetric difference of linked sets of sizes a and b."""
@@ -80,19 +94,21 @@ class Bands:
         return int(np.log(a) / self._step + 1e-9)
 
     def space(self, k: int) -> tuple[int, int]:
-        """(blocks, light allowance) for pairs of bands k and k or k - 1."""
+        """(blocks, light allowance) for pairs of bands k and k or k - 1; no blocks: sets too small."""
         if k not in self._made:
             top = int(np.exp(self._step * (k + 1)) + 1)  # sizes in band k are at most this
-            blocks = d1 = int(self.most_apart(top, top)) + 1
+            blocks = d1 = int(self.most_apart(top, top)) + SUPPORT
             light = 0
             while True:
-                rate = top * 0.9 / blocks
-                expected = blocks * np.exp(-rate) * (1 + rate)
+                expected = blocks * np.exp(-RARE_SHARE * 0.9 * top / blocks)
                 need = int(np.ceil(expected + 3 * np.sqrt(expected)))
-                if need <= light or light > d1:
+                if need <= light:
                     break
                 light += max(1, (need - light) // 2)
                 blocks = d1 + light
+                if light > d1:  # so few shingles that most blocks would be empty
+                    blocks = light = 0
+                    break
             self._made[k] = (blocks, light)
         return self._made[k]
 
@@ -105,19 +121,48 @@ class Bands:
 
     def _keys(self, s: np.ndarray, space: int) -> np.ndarray:
         blocks, light = self.space(space)
+        if not blocks:  # one of the first |s| - p/q |s| + 1 shingles is in a linked set's first ones
+            first = s[: len(s) - -(-self.p * len(s) // self.q) + 1]
+            return np.concatenate([mix(first ^ mix(np.array([space + (i << 20)], U64))) for i in range(SUPPORT)])
         width = min(BLOCK_BITS, 31 - blocks.bit_length())
-        bit = ((s >> U64(32)) * U64(blocks << width)) >> U64(32)  # ascends with s
+        bit = self._bits(s, blocks << width)  # ascends with s
         if (bit[1:] == bit[:-1]).any():  # a bit that is toggled twice is not set
             bit, times = np.unique(bit, return_counts=True)
             bit = bit[times % 2 == 1]
+        if space not in self._common_bits:
+            self._common_bits[space] = np.unique(self._bits(self._common, blocks << width))
+        common = self._common_bits[space]
+        rare = np.ones(len(bit), bool) if not len(common) else common[np.minimum(np.searchsorted(common, bit), len(common) - 1)] != bit
+        rares = np.concatenate([[0], np.cumsum(rare)])
         off = np.searchsorted(bit >> U64(width), np.arange(blocks + 1, dtype=U64))
         toggled = np.zeros(len(bit) + 1, U64)
         np.bitwise_xor.accumulate(mix(bit + U64(space << 48)), out=toggled[1:])
         content = toggled[off[1:]] ^ toggled[off[:-1]]
-        heavy = np.diff(off) >= 2
+        heavy = rares[off[1:]] > rares[off[:-1]]
         keys = mix(content + mix(np.arange(blocks, dtype=U64) + U64(space << 32)))
         return keys[heavy] if np.count_nonzero(~heavy) <= light else keys
 
+    @staticmethod
+    def _bits(s: np.ndarray, m: int) -> np.ndarray:
+        return ((s >> U64(32)) * U64(m)) >> U64(32)
+
+
+def common_shingles(docs: DataFrame, n: int, rows: int, sample: int = SAMPLE, least: int = COMMON) -> np.ndarray:
+    """Shingles of `least` or more different sets of a sample of about `sample` documents. Both
+    numbers bound what the driver gets; they steer cost, not results."""
+    share = min(1.0, sample / max(1, rows))
+
+    def run(it):
+        for _, texts in batches_of(it):
+            sets, code = shingle_sets(texts, n)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), list_array(np.concatenate(sets).view(np.int64), sizes, pa.int64())], names=["code", "s"])
+
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    sets = chosen.mapInArrow(run, "code long, s array<long>").dropDuplicates(["code"])
+    found = sets.select(F.explode("s").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("g").toArrow()
+    return np.sort(found["g"].to_numpy().view(U64))
+
 
 def _classes(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, h) of every row."""
@@ -130,64 +175,108 @@ def _classes(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, h long")
 
 
-def _key_rows(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """(key, h): every set's keys; a set met again in one task is not sent again."""
+def _key_rows(docs: DataFrame, n: int, bands: Bands, shingles: int) -> DataFrame:
+    """(key, h) of the keys that two sets or more hold. A batch of documents sends its keys sorted
+    and delta-coded, split by their top bits into buckets; a bucket keeps what is held twice. A
+    key that very many sets of one batch hold is sent there once, as a proxy, and its sets in
+    spread-out buckets of their own, so that a group of near copies does not pile up in one
+    bucket. A row may come twice."""
+    bits = max(1, int(np.ceil(np.log2(max(1, shingles / 2 / KEYS_PER_BUCKET)))))
+
+    def coded(bucket: int, keys: np.ndarray, own: np.ndarray, h: np.ndarray) -> tuple:
+        used, own = np.unique(own, return_inverse=True)  # the last of h stands for proxies
+        return bucket, len(keys), pack_keys(keys), own.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes(), h[used].tobytes()
 
     def run(it):
         sent: set[int] = set()
         for _, texts in batches_of(it):
             sets, code = shingle_sets(texts, n)
-            out, own = [], []
+            out, held = [], []
             for s, h in zip(sets, code.view(np.int64).tolist(), strict=True):
-                if h not in sent:
+                if h not in sent:  # a set met again in one task is not sent again
                     sent.add(h)
                     out.append(bands.keys(s))
-                    own.append(h)
+                    held.append(h)
             if len(sent) > 1 << 20:
                 sent.clear()
-            if out:
-                counts = np.array([len(k) for k in out], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), list_array(np.concatenate(out).view(np.int64), counts, pa.int64())], names=["h", "keys"])
-
-    return docs.mapInArrow(run, "h long, keys array<long>").select(F.explode("keys").alias("key"), "h")
+            if not out:
+                continue
+            h = np.array([*held, PROXY], np.int64)
+            keys = np.concatenate(out)
+            order = np.argsort(keys, kind="stable")
+            own, keys = np.repeat(np.arange(len(out)), [len(k) for k in out])[order], keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+            times = np.diff(np.concatenate([first, [len(keys)]]))
+            hot = np.repeat(times >= HOT, times)
+            stay = ~hot
+            stay[first] = True
+            sent_own = np.where(hot, len(held), own)
+            rows = [coded(bucket, keys[stay][a:b], sent_own[stay][a:b], h) for bucket, a, b in split(keys[stay], bits)]
+            if hot.any():
+                rows.append(coded(-1 - int(h[0] % SPREAD), keys[hot], own[hot], h))
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=["bucket", "n", "keys", "own", "sets"])
+
+    def shared(table: pa.Table) -> pa.Table:
+        ns = table["n"].to_pylist()
+        keys = np.concatenate([unpack_keys(k, c) for k, c in zip(table["keys"].to_pylist(), ns, strict=True)])
+        h = np.concatenate(
+            [np.frombuffer(s, np.int64)[np.frombuffer(o, np.uint16 if len(o) == 2 * c else np.uint32)] for o, s, c in zip(table["own"].to_pylist(), table["sets"].to_pylist(), ns, strict=True)]
+        )
+        order = np.lexsort((h, keys))
+        keys, h = keys[order], h[order]
+        # proxies of two batches stand for different sets
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (h[1:] != h[:-1]) | (h[1:] == PROXY)])
+        keys, h = keys[new], h[new]
+        if table["bucket"][0].as_py() >= 0:
+            same = keys[1:] == keys[:-1]
+            on = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            on &= h != PROXY
+            keys, h = keys[on], h[on]
+        return pa.table({"key": pa.array(keys.view(np.int64)), "h": pa.array(h)})
+
+    sent = docs.mapInArrow(run, "bucket int, n int, keys binary, own binary, sets binary")
+    return sent.groupBy("bucket").applyInArrow(shared, "key long, h long")
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """(x, y, star) with x < y: all pairs of small groups, stars of large ones."""
-    by = Window.partitionBy("key").orderBy("h")
-    # keys of one set only are most of all rows; they go without being buffered
-    met = rows.select("key", "h", F.lag("h").over(by).alias("before"), F.lead("h").over(by).alias("after"))
-    met = met.where((F.col("before").isNotNull() | F.col("after").isNotNull()) & ~F.col("before").eqNullSafe(F.col("h")))
+    """(x, y, star): all pairs of small groups, stars of large ones. A star's centre x is the member
+    that shares the most keys: in a group of near copies that is one of the least edited, and the
+    same one for most of the group's keys."""
+    degree = F.count(F.lit(1)).over(Window.partitionBy("h"))
     whole = Window.partitionBy("key")
-    sized = met.select("key", "h", F.count(F.lit(1)).over(whole).alias("k"), F.min("h").over(whole).alias("x"))
-    star = sized.where((F.col("k") > SMALL) & (F.col("x") < F.col("h"))).select("x", F.col("h").alias("y"), F.lit(True).alias("star"))
-    few = sized.where((F.col("k") <= SMALL) & (F.col("k") > 1)).groupBy("key").agg(F.sort_array(F.collect_list("h")).alias("m"))
+    ranked = rows.select("key", "h", F.struct((-degree).alias("d"), "h").alias("rank"))
+    sized = ranked.select("key", "h", F.count(F.lit(1)).over(whole).alias("k"), F.min("rank").over(whole)["h"].alias("x"))
+    star = sized.where((F.col("k") > SMALL) & (F.col("x") != F.col("h"))).select("x", F.col("h").alias("y"), F.lit(True).alias("star"))
+    few = sized.where((F.col("k") <= SMALL) & (F.col("k") > 1)).groupBy("key").agg(F.sort_array(F.collect_set("h")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, SMALL), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    small = few.select(F.explode(pairs).alias("p")).select("p.x", "p.y", F.lit(False).alias("star"))
+    each = few.select(F.explode(pairs).alias("p")).select("p.x", "p.y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    # linked sets that share fewer small groups than SUPPORT share a large one, and meet in its star
+    small = each.where(F.col("n") >= SUPPORT).select("x", "y", F.lit(False).alias("star"))
     return star.unionByName(small).groupBy("x", "y").agg(F.max("star").alias("star"))
 
 
-def _texts_of(docs: DataFrame, classes: DataFrame, edges: DataFrame, n: int) -> DataFrame:
-    """(h, z): the compressed text of one document of each class that an edge names."""
-    named = edges.select(F.explode(F.array("x", "y")).alias("h")).distinct()
-    wanted = named.join(classes, "h").select(F.col("rep").alias("doc_id"), "h")
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, z): the texts, compressed before they travel."""
 
     def run(it):
         z = zstandard.ZstdCompressor(level=3)
         for batch, texts in batches_of(it):
-            _, code = shingle_sets(texts, n)
-            h = batch.column(2)
-            on = np.flatnonzero(code.view(np.int64) == h.to_numpy())  # a doc_id may stand for several texts
-            yield pa.RecordBatch.from_arrays([h.take(pa.array(on)), pa.array([z.compress(texts.bytes_of(i)) for i in on.tolist()], pa.binary())], names=["h", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(texts.bytes_of(i)) for i in range(len(texts))], pa.binary())], names=["doc_id", "z"])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "h").mapInArrow(run, "h long, z binary").dropDuplicates(["h"])
+    return docs.mapInArrow(run, "doc_id long, z binary")
 
 
-VERIFIED = "x long, y long, star boolean, linked boolean, size_x int, size_y int, delta array<long>"
+#: of a star's edges also in what the member differs from the centre: a bit for each of the centre's
+#: shingles that it lacks, and 48 bits of the hash of each other shingle that it has
+VERIFIED = "x long, y long, star boolean, linked boolean, size_x int, size_y int, lacks binary, adds binary"
 
 
-def _verify(edges: DataFrame, texts: DataFrame, n: int, bands: Bands) -> DataFrame:
-    both = edges.join(texts.select(F.col("h").alias("x"), F.col("z").alias("zx")), "x").join(texts.select(F.col("h").alias("y"), F.col("z").alias("zy")), "y")
+def _verify(edges: DataFrame, docs: DataFrame, classes: DataFrame, n: int, bands: Bands) -> DataFrame:
+    """VERIFIED rows: edges held against the texts of one document of each class."""
+    named = edges.join(classes.select(F.col("h").alias("x"), F.col("rep").alias("rx")), "x").join(classes.select(F.col("h").alias("y"), F.col("rep").alias("ry")), "y")
+    texts = _texts(docs)
+    both = named.join(texts.select(F.col("doc_id").alias("rx"), F.col("z").alias("zx")), "rx").join(texts.select(F.col("doc_id").alias("ry"), F.col("z").alias("zy")), "ry")
 
     def run(it):
         un = zstandard.ZstdDecompressor()
@@ -196,30 +285,38 @@ def _verify(edges: DataFrame, texts: DataFrame, n: int, bands: Bands) -> DataFra
                 batch = whole.slice(start, 512)
                 zs = batch.column(3).to_pylist() + batch.column(4).to_pylist()
                 distinct = list(dict.fromkeys(zs))
-                sets, _ = shingle_sets(Texts.of_list([un.decompress(z) for z in distinct]), n)
-                of = dict(zip(distinct, sets, strict=True))
-                linked, size_x, size_y, delta = [], [], [], []
-                for zx, zy, star in zip(zs[: batch.num_rows], zs[batch.num_rows :], batch.column(2).to_pylist(), strict=True):
-                    a, b = of[zx], of[zy]
-                    differ = np.setxor1d(a, b, assume_unique=True)
-                    both = (len(a) + len(b) - len(differ)) // 2
+                sets, code = shingle_sets(Texts.of_list([un.decompress(z) for z in distinct]), n)
+                of = dict(zip(distinct, zip(sets, code.view(np.int64).tolist(), strict=True), strict=True))
+                kept, linked, size_x, size_y, lacks, adds = [], [], [], [], [], []
+                for i, (x, y, star) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                    (a, hx), (b, hy) = of[zs[i]], of[zs[batch.num_rows + i]]
+                    if (hx, hy) != (x, y):  # another text of the same doc_id
+                        continue
+                    has = np.isin(a, b, assume_unique=True)
+                    both = int(has.sum())
+                    kept.append(i)
                     linked.append(bands.linked(both, len(a), len(b)))
                     size_x.append(len(a))
                     size_y.append(len(b))
-                    delta.append(differ.view(np.int64) if star else np.empty(0, np.int64))
-                counts = np.array([len(d) for d in delta], np.int64)
+                    lacks.append(np.packbits(~has).tobytes() if star else None)
+                    adds.append(b[~np.isin(b, a, assume_unique=True)].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() if star else None)
+                if not kept:
+                    continue
+                same = [batch.column(k).take(pa.array(kept)) for k in range(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(2), pa.array(linked), pa.array(size_x, pa.int32()), pa.array(size_y, pa.int32()), list_array(np.concatenate(delta), counts, pa.int64())],
-                    names=["x", "y", "star", "linked", "size_x", "size_y", "delta"],
+                    [*same, pa.array(linked), pa.array(size_x, pa.int32()), pa.array(size_y, pa.int32()), pa.array(lacks, pa.binary()), pa.array(adds, pa.binary())],
+                    names=[c.split(" ")[0] for c in VERIFIED.split(", ")],
                 )
 
     return both.select("x", "y", "star", "zx", "zy").mapInArrow(run, VERIFIED)
 
 
 def _inside_stars(verified: DataFrame, bands: Bands) -> DataFrame:
-    """(x, y): links between members of a star, one of them not linked to its centre. Members are
-    compared by their differences from the centre: |X ^ Y| = |dx| + |dy| - 2 |dx & dy|."""
-    stars = verified.where("star").select(F.col("x").alias("c"), F.col("y").alias("m"), "linked", F.col("size_y").alias("size"), "delta")
+    """(x, y): candidate links between members of a star, one of them not linked to its centre.
+    Members are compared by their differences from the centre: |X ^ Y| = |dx| + |dy| - 2 |dx & dy|.
+    Short hashes can only make an overlap look larger, so no link is missed; what comes out is
+    to be verified."""
+    stars = verified.where("star").select(F.col("x").alias("c"), F.col("y").alias("m"), "linked", F.col("size_y").alias("size"), "lacks", "adds")
     loose = stars.where(~F.col("linked"))
     chunks = loose.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     each = stars.join(chunks, "c")
@@ -230,8 +327,12 @@ def _inside_stars(verified: DataFrame, bands: Bands) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         m, size = table["m"].to_numpy(), table["size"].to_numpy().astype(np.int64)
         own, chunk = table["own"].fill_null(-1).to_numpy(), table["chunk"][0].as_py()
-        lists = table["delta"].combine_chunks()
-        values, counts = np.asarray(lists.flatten()), np.asarray(lists.value_lengths()).astype(np.int64)
+        each = []
+        for lacks, adds in zip(table["lacks"].to_pylist(), table["adds"].to_pylist(), strict=True):
+            added = np.zeros((len(adds) // 6, 8), np.uint8)
+            added[:, :6] = np.frombuffer(adds, np.uint8).reshape(-1, 6)
+            each.append(np.concatenate([np.flatnonzero(np.unpackbits(np.frombuffer(lacks, np.uint8))), added.reshape(-1).view(np.int64) + (1 << 50)]))
+        values, counts = np.concatenate(each), np.array([len(x) for x in each], np.int64)
         code, value = np.unique(values, return_inverse=True)
         member = np.repeat(np.arange(len(m)), counts)
         order = np.argsort(value, kind="stable")
@@ -244,18 +345,20 @@ def _inside_stars(verified: DataFrame, bands: Bands) -> DataFrame:
             mine = value[at[i] : at[i + 1]]
             hit = np.concatenate([holders[posting[v] : posting[v + 1]] for v in mine.tolist()]) if len(mine) else np.empty(0, np.int64)
             shared = np.bincount(hit, minlength=len(m))
-            differ = counts[i] + counts - 2 * shared
-            both = (size[i] + size - differ) // 2
+            differ = np.maximum(counts[i] + counts - 2 * shared, 0)
+            both = np.minimum((size[i] + size - differ) // 2, np.minimum(size[i], size))
             on = np.flatnonzero(bands.q * both >= bands.p * (size[i] + size - both))
-            # one link to each other part joins all that the links join
+            # one link to each other part joins all that the links join; two, should one be none
             others, first = np.unique(part[on], return_index=True)
-            to = on[first][others != part[i]]
+            last = len(on) - 1 - np.unique(part[on][::-1], return_index=True)[1]
+            new = others != part[i]
+            to = np.unique(np.concatenate([on[first][new], on[last][new]]))
             xs += [m[i]] * len(to)
             ys += m[to].tolist()
             part[np.isin(part, others)] = part[i]
         return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
-    return dealt.select("c", "chunk", "m", "own", "size", "delta").groupBy("c", "chunk").applyInArrow(run, "x long, y long")
+    return dealt.select("c", "chunk", "m", "own", "size", "lacks", "adds").groupBy("c", "chunk").applyInArrow(run, "x long, y long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -280,13 +383,20 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row. class_id: the smallest doc_id with
     an equal set; component_id: the smallest doc_id reachable over pairs of Jaccard p/q or more."""
-    bands = Bands(p, q)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(_classes(docs, n))
     classes = cut(rows.where("n_shingles > 0").groupBy("h").agg(F.min("doc_id").alias("rep")))
-    edges = cut(_candidates(_key_rows(docs, n, bands)))
-    verified = cut(_verify(edges, _texts_of(docs, classes, edges, n), n, bands))
-    links = verified.where("linked").select("x", "y").unionByName(_inside_stars(verified, bands))
+    count, shingles = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    bands = Bands(p, q, common_shingles(docs, n, count))
+    edges = cut(_candidates(_key_rows(docs, n, bands, shingles)))
+    release(docs.sparkSession)
+    verified = cut(_verify(edges, docs, classes, n, bands))
+    release(docs.sparkSession)
+    inner = cut(_inside_stars(verified, bands).distinct().withColumn("star", F.lit(False)))
+    links = verified.where("linked").select("x", "y")
+    if not inner.isEmpty():
+        links = links.unionByName(cut(_verify(inner, docs, classes, n, bands).where("linked").select("x", "y")))
+        release(docs.sparkSession)
     named = links.join(classes.select(F.col("h").alias("x"), F.col("rep").alias("rx")), "x").join(classes.select(F.col("h").alias("y"), F.col("rep").alias("ry")), "y")
     found = components(named.select(F.col("rx").alias("x"), F.col("ry").alias("y")))
     by_set = classes.join(found, F.col("rep") == F.col("v"), "left").select("h", "rep", F.coalesce("label", "rep").alias("label"))
