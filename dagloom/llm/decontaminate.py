@@ -32,7 +32,7 @@ BROADCAST_SEEDS = 200_000
 
 
 def _seeds(rows: DataFrame, k: int) -> DataFrame:
-    """(row, id, n_words, seeds): the hashes of all k-word shingles in order."""
+    """(id, text_hash, n_words, at, seed): all k-word shingles of all rows, one a row."""
 
     def run(it):
         for batch, texts in batches_of(it):
@@ -40,19 +40,15 @@ def _seeds(rows: DataFrame, k: int) -> DataFrame:
             h, _ = windows(word_hashes(texts.buf, starts, ends, lower=True), counts, k)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), list_array(h.view(np.int64), np.maximum(counts - k + 1, 0), pa.int64())],
-                names=["row", "id", "n_words", "seeds"],
+                names=["id", "text_hash", "n_words", "seeds"],
             )
 
-    return rows.mapInArrow(run, "row string, id long, n_words long, seeds array<long>")
+    lists = rows.mapInArrow(run, "id long, text_hash long, n_words long, seeds array<long>")
+    return lists.select("id", "text_hash", "n_words", F.posexplode("seeds").alias("at", "seed"))
 
 
 def _rows(df: DataFrame, key: str) -> DataFrame:
-    return df.select(row_key(key).alias("row"), F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-
-
-def row_key(key: str):
-    """Tells rows of one id apart by their text."""
-    return F.concat_ws(":", F.col(key), F.xxhash64("text"))
+    return df.select(F.col(key).cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
 
 
 def tile(doc_at: list[int], item_at: list[int], k: int) -> list[tuple[int, int, int]]:
@@ -90,20 +86,18 @@ def tile(doc_at: list[int], item_at: list[int], k: int) -> list[tuple[int, int,
     return tiles
 
 
-FOUND = "row string, doc_id long, item_id long, item_words long, covered long, n_tiles int, doc_starts array<int>, item_starts array<int>, lengths array<int>"
+FOUND = "doc_id long, text_hash long, item_id long, item_words long, covered long, n_tiles int, doc_starts array<int>, item_starts array<int>, lengths array<int>"
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, k: int = K) -> DataFrame:
     """FOUND rows: the tiles of every document and item that share a seed."""
-    items = _seeds(_rows(benchmark, "item_id").dropDuplicates(["row"]), k)
-    seeds = items.select(F.col("row").alias("item"), F.col("id").alias("item_id"), F.col("n_words").alias("item_words"), F.posexplode("seeds").alias("i", "seed"))
+    items = _seeds(_rows(benchmark, "item_id").dropDuplicates(["id", "text_hash"]), k)
+    seeds = items.select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), F.col("n_words").alias("item_words"), F.col("at").alias("i"), "seed")
     n_seeds = seeds.count()
     right = F.broadcast(seeds) if n_seeds <= BROADCAST_SEEDS else seeds
-    left = _seeds(_rows(docs, "doc_id"), k).select("row", F.col("id").alias("doc_id"), F.posexplode("seeds").alias("d", "seed"))
+    left = _seeds(_rows(docs, "doc_id"), k).select(F.col("id").alias("doc_id"), "text_hash", F.col("at").alias("d"), "seed")
     # a pair's seeds are bounded by the two texts; equal rows give equal seeds, kept once
-    pairs = left.join(right, "seed").groupBy("row", "item").agg(
-        F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.first("item_words").alias("item_words"), F.collect_set(F.struct("d", "i")).alias("at")
-    )
+    pairs = left.join(right, "seed").groupBy("doc_id", "text_hash", "item_id", "item_hash", "item_words").agg(F.collect_set(F.struct("d", "i")).alias("at"))
 
     def run(it):
         for batch in it:
@@ -118,7 +112,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, k: int = K) -> DataFrame:
                 names=[x.split(" ")[0] for x in FOUND.split(", ")],
             )
 
-    return pairs.select("row", "doc_id", "item_id", "item_words", "at").mapInArrow(run, FOUND)
+    return pairs.select("doc_id", "text_hash", "item_id", "item_words", "at").mapInArrow(run, FOUND)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, coverage: float = COVERAGE) -> DataFrame:
@@ -128,8 +122,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, coverage: fl
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, coverage: float = COVERAGE) -> DataFrame:
     """docs without the documents that hold a benchmark item."""
-    leaks = contaminated(docs, benchmark, k, coverage).select(F.col("row").alias("__row")).distinct()
-    return docs.withColumn("__row", row_key("doc_id")).join(leaks, "__row", "left_anti").drop("__row")
+    # nulls are equal to nulls inside a struct
+    leaks = contaminated(docs, benchmark, k, coverage).select(F.struct("doc_id", "text_hash").alias("__row")).distinct()
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    return docs.withColumn("__row", own).join(leaks, "__row", "left_anti").drop("__row")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

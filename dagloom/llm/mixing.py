@@ -116,29 +116,43 @@ def thresholds(rows: DataFrame, budgets: DataFrame, n_sources: int) -> DataFrame
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = REPEAT_CAP, seed: int = 8) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document: `taken` is its size times the
     whole repeats of its source's target, plus once more below the source's threshold."""
-    return _mix(docs, weights, cap, seed).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("__times")).alias("taken"))
+    rows, plan, n_sources = _plan(docs, weights, cap, seed)
+    taken = F.col("size") * _times(F.col("size"), F.col("whole"), F.col("__h"), F.col("below"), cap)
+    return _per_source(rows, plan, n_sources).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def sample_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = REPEAT_CAP, seed: int = 8) -> DataFrame:
     """The mixed corpus: the rows of docs, each as often as the mix takes it."""
-    return _mix(docs, weights, cap, seed, keep=True).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times")))).where(F.col("__times") > 0).select(*docs.columns)
+    _, plan, n_sources = _plan(docs, weights, cap, seed)
+    # names of the plan's columns can't clash with those of docs
+    slim = plan.select("source", F.col("whole").alias("__whole"), F.col("below").alias("__below"))
+    rows = docs.withColumns({"__size": n_words(F.col("text")), "__crc": _crc()}).withColumn("__h", _hash(seed))
+    times = _times(F.col("__size"), F.col("__whole"), F.col("__h"), F.col("__below"), cap)
+    taken = _per_source(rows, slim, n_sources).withColumn("__times", times).where(F.col("__times") > 0)
+    return taken.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
-def _mix(docs: DataFrame, weights: Sequence[float], cap: int, seed: int, keep: bool = False) -> DataFrame:
-    hashed = docs.withColumns({"size": n_words(F.col("text")), "__crc": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
+def _crc() -> Column:
+    return F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
+def _times(size: Column, whole: Column, h: Column, below: Column, cap: int) -> Column:
+    return F.when(size > 0, F.least(whole + (h < below).cast("int"), F.lit(cap))).otherwise(0).cast("int")
+
+
+def _plan(docs: DataFrame, weights: Sequence[float], cap: int, seed: int) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, source, size, __h) of every row; (source, source_size, target, whole, below) of
+    every source; the number of sources."""
+    hashed = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _crc().alias("__crc"))
     rows = cut(hashed.select("doc_id", "source", "size", _hash(seed).alias("__h")))
     sources = cut(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
     n_sources = sources.count()
     ratio = F.col("target") / F.col("source_size")
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(ratio), F.lit(cap))).otherwise(0).cast("int")
-    sources = sources.withColumn("__whole", whole)
-    budgets = sources.select("source", F.round(F.col("target") - F.col("__whole") * F.col("source_size")).cast("long").alias("budget"))
+    sources = sources.withColumn("whole", whole)
+    budgets = sources.select("source", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long").alias("budget"))
     below = thresholds(rows, budgets, n_sources)
-    plan = sources.withColumn("__s", F.struct("source")).join(below.select(F.struct("source").alias("__s"), "below"), "__s").drop("__s")
-    left = docs.withColumns({"size": n_words(F.col("text")), "__crc": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))}).withColumn("__h", _hash(seed)) if keep else rows
-    once_more = (F.col("__h") < F.col("below")).cast("int")
-    times = F.when(F.col("size") > 0, F.least(F.col("__whole") + once_more, F.lit(cap))).otherwise(0).cast("int")
-    return _per_source(left, plan, n_sources).withColumn("__times", times)
+    return rows, sources.withColumn("__s", F.struct("source")).join(below.select(F.struct("source").alias("__s"), "below"), "__s").drop("__s"), n_sources
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,8 +69,10 @@ def _key(seed: int, *more: Column) -> Column:
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, seed: int = 10, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """docs with columns shard (int) and slot (long, gapless from 0 in each shard)."""
-    return _assign(docs, shards, seed, rows_per_partition).select(*docs.columns, "shard", "slot")
+    """docs with columns shard (int) and slot (long, gapless from 0 in each shard); columns of
+    these names are replaced."""
+    docs = docs.drop("shard", "slot")
+    return _assign(docs, shards, seed, rows_per_partition).select(*docs.columns, "shard", F.col("slot").cast("long").alias("slot"))
 
 
 def _assign(docs: DataFrame, shards: int, seed: int, rows_per_partition: int) -> DataFrame:
