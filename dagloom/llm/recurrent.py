@@ -4,9 +4,9 @@ Word counts cover all training documents (exact sums by word hash, exchanged in
 The most frequent words each have an input vector and an output vector in a class of words of like
 frequency; all other words share classes by the size of their count, in which a word's share is its
 smoothed count. log P(word) = log P(class | state) + log P(word | class, state). The network is
-trained by truncated backpropagation: every block trains on its share of documents from the same
-start, the parameters are averaged over all blocks, and a second round goes on from there. A
-document is scored whole: its state is carried from window to window.
+trained by truncated backpropagation on all training documents: every block trains on its part of
+the round's documents from the same start, the parameters are averaged over all blocks, and a second
+round goes on from there with the other documents. A document is scored whole: its state is carried from window to window.
 
 Defined results: a null or empty text is one end token; a null doc_id counts as held out; without
 training tokens the model's score is the base score; repeated rows count and score like any
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagloom.llm import blocks as B
-from dagloom.llm.tokens import Texts, word_hashes
-from dagloom.session import cut
+from dagloom.llm.tokens import Texts, list_array, word_hashes
+from dagloom.session import cut, release
 
 ALPHA = 0.1
 HIDDEN = 16
@@ -36,8 +36,8 @@ HEAD = HEAD_CLASSES * CLASS_WORDS
 #: other words' classes: counts 0 and 1, 2 to 3, 4 to 7, ...
 TAIL_CLASSES = 24
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
-#: rounds of training; in round r a block trains on documents with id hash mod SHARE = r
-ROUNDS, SHARE = 2, 16
+#: rounds of training; each document that is not held out is learned from in one of them
+ROUNDS = 2
 WINDOW, STREAMS, RATE = 24, 32, 4e-3
 SCORE_WINDOW = 32
 
@@ -122,6 +122,12 @@ def flat(p: Params) -> np.ndarray:
     return np.concatenate([p[k].reshape(-1) for k in sorted(p)])
 
 
+def _views(values: np.ndarray, like: Params) -> Params:
+    """The parameters of flat(), not copied."""
+    at = np.cumsum([0, *[like[k].size for k in sorted(like)]])
+    return {k: values[a:b].reshape(like[k].shape) for k, a, b in zip(sorted(like), at[:-1], at[1:], strict=True)}
+
+
 def unflat(values: np.ndarray, like: Params) -> Params:
     out, at = {}, 0
     for k in sorted(like):
@@ -148,6 +154,13 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
 def _class_of(token: np.ndarray) -> np.ndarray:
     return np.where(token < HEAD, token // CLASS_WORDS, token - HEAD + HEAD_CLASSES)
 
@@ -188,61 +201,83 @@ def train(p: Params, tokens: np.ndarray, begin: np.ndarray, end: int) -> tuple[P
     fresh[0] = True
     given = np.concatenate([np.full((1, streams), end), target[:-1]])
     given = np.where(fresh, end, given)
-    p = {k: v.copy() for k, v in p.items()}
-    m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
+    values = flat(p)
+    p = _views(values, p)
+    m, v = np.zeros_like(values), np.zeros_like(values)
     h = np.zeros((streams, HIDDEN), np.float32)
     for t, a in enumerate(range(0, length, WINDOW), 1):
         b = min(a + WINDOW, length)
-        g, h = _window(p, given[a:b], target[a:b], fresh[a:b], h)
+        by_name, h = _window(p, given[a:b], target[a:b], fresh[a:b], h)
+        g = flat(by_name)
         fix = np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.999 * v[k] + 0.001 * g[k] * g[k]
-            p[k] -= (RATE * fix) * m[k] / (np.sqrt(v[k]) + 1e-7)
+        m *= 0.9
+        m += 0.1 * g
+        v *= 0.999
+        g *= g
+        g *= 0.001
+        v += g
+        np.sqrt(v, out=g)
+        g += 1e-7
+        np.divide(m, g, out=g)
+        g *= RATE * fix
+        values -= g
     return p, streams * length
 
 
 def _window(p: Params, given: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[Params, np.ndarray]:
     """Gradients of the mean negative log-likelihood over one window, and the state after it."""
-    kept = []
+    kind, shape = h.dtype, (*given.shape, HIDDEN)
+    before, rh, c, after = (np.empty(shape, kind) for _ in range(4))
+    gates = np.empty((*given.shape, 2 * HIDDEN), kind)
+    x, keep = p["x"][given], (~fresh)[:, :, None].astype(kind)
     for t in range(len(given)):
-        before = h * ~fresh[t][:, None]
-        h, gates, rh, c = step(p, p["x"][given[t]], before)
-        kept.append((before, gates, rh, c, h))
-    states = np.concatenate([k[4] for k in kept])
-    token = target.reshape(-1)
-    n, rows_all = len(token), np.arange(len(token))
-    classes = _class_of(token)
+        before[t] = h * keep[t]
+        h, gates[t], rh[t], c[t] = step(p, x[t], before[t])
+        after[t] = h
+    states, token = after.reshape(-1, HIDDEN), target.reshape(-1)
+    n, classes = len(token), _class_of(token)
     g = {k: np.zeros_like(x) for k, x in p.items()}
-    d = np.exp(_log_softmax(states @ p["wc"] + p["bc"]))
-    d[rows_all, classes] -= 1
+    d = _softmax(states @ p["wc"] + p["bc"])
+    d[np.arange(n), classes] -= 1
     d /= n
     g["wc"], g["bc"] = states.T @ d, d.sum(0)
     d_states = d @ p["wc"].T
-    for k, rows in _by_class(classes):
-        s = states[rows]
-        e = np.exp(_log_softmax(s @ p["wo"][k] + p["bo"][k]))
-        e[np.arange(len(rows)), token[rows] % CLASS_WORDS] -= 1
-        e /= n
-        g["wo"][k], g["bo"][k] = s.T @ e, e.sum(0)
-        d_states[rows] += e @ p["wo"][k].T
-    d_states = d_states.reshape(len(given), -1, HIDDEN)
-    d_in = np.empty((*given.shape, 3 * HIDDEN), np.float32)
-    carry = np.zeros_like(h)
+    # head words, class after class
+    rows = np.argsort(classes, kind="stable")
+    off = np.searchsorted(classes[rows], np.arange(HEAD_CLASSES + 1))
+    rows = rows[: off[-1]]
+    some = [(k, off[k], off[k + 1]) for k in range(HEAD_CLASSES) if off[k] < off[k + 1]]
+    s = states[rows]
+    e, d_s = np.empty((len(rows), CLASS_WORDS), kind), np.empty_like(s)
+    for k, a, b in some:
+        np.matmul(s[a:b], p["wo"][k], out=e[a:b])
+    e = _softmax(e + p["bo"][classes[rows]])
+    e[np.arange(len(rows)), token[rows] % CLASS_WORDS] -= 1
+    e /= n
+    for k, a, b in some:
+        g["wo"][k], g["bo"][k] = s[a:b].T @ e[a:b], e[a:b].sum(0)
+        np.matmul(e[a:b], p["wo"][k].T, out=d_s[a:b])
+    d_states[rows] += d_s
+    d_states = d_states.reshape(shape)
+    r, z = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+    by_c, by_z, by_r, stay = z * (1 - c * c), (c - before) * z * (1 - z), before * r * (1 - r), 1 - z
+    d_in = np.empty((*given.shape, 3 * HIDDEN), kind)
+    carry, uc, u = np.zeros_like(h), p["uc"].T, p["u"].T
     for t in range(len(given) - 1, -1, -1):
-        before, gates, rh, c, _ = kept[t]
-        r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
         dh = d_states[t] + carry
-        dc = dh * z * (1 - c * c)
-        d_rh = dc @ p["uc"].T
-        dz = dh * (c - before) * z * (1 - z)
-        dr = d_rh * before * r * (1 - r)
-        d_gates = np.concatenate([dr, dz], 1)
-        d_in[t, :, : 2 * HIDDEN], d_in[t, :, 2 * HIDDEN :] = d_gates, dc
-        g["u"] += before.T @ d_gates
-        g["uc"] += rh.T @ dc
-        carry = (dh * (1 - z) + d_rh * r + d_gates @ p["u"].T) * ~fresh[t][:, None]
-    np.add.at(g["x"], given.reshape(-1), d_in.reshape(-1, 3 * HIDDEN))
+        d_gates, dc = d_in[t, :, : 2 * HIDDEN], d_in[t, :, 2 * HIDDEN :]
+        np.multiply(dh, by_c[t], out=dc)
+        d_rh = dc @ uc
+        np.multiply(d_rh, by_r[t], out=d_gates[:, :HIDDEN])
+        np.multiply(dh, by_z[t], out=d_gates[:, HIDDEN:])
+        carry = (dh * stay[t] + d_rh * r[t] + d_gates @ u) * keep[t]
+    d_in = d_in.reshape(-1, 3 * HIDDEN)
+    g["u"] = before.reshape(-1, HIDDEN).T @ d_in[:, : 2 * HIDDEN]
+    g["uc"] = rh.reshape(-1, HIDDEN).T @ d_in[:, 2 * HIDDEN :]
+    used = given.reshape(-1)
+    order = np.argsort(used, kind="stable")
+    first = np.flatnonzero(np.diff(used[order], prepend=-1))
+    g["x"][used[order[first]]] = np.add.reduceat(d_in[order], first)
     return g, h
 
 
@@ -351,26 +386,69 @@ def _with_ends(token: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndar
     return out, off
 
 
-def fit(packed: DataFrame, stats: DataFrame, bits: int, vocabulary: Vocabulary) -> Params:
+#: a block's documents: ids, numbers of tokens, tokens, and the sums over words that need no network
+CODED = "block int, ids binary, lens binary, tokens binary, n_known binary, base binary, inside binary"
+
+
+def encode(packed: DataFrame, stats: DataFrame, bits: int, vocabulary: Vocabulary) -> DataFrame:
+    """CODED rows, one a block."""
+    bottom = vocabulary.n + ALPHA * (vocabulary.v + 1)
+
+    def code(table: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, _, counts, keys, which = _words(table)
+        c = _answers(keys, bits, answers) if len(keys) else np.empty(0, np.int64)
+        token, inside = vocabulary.tokens(keys, c)
+        tokens, off = _with_ends(token[which], counts, vocabulary.end)
+        sums = np.concatenate([[0], np.cumsum(counts)])
+
+        def per_document(of_word: np.ndarray, of_end: float) -> bytes:
+            running = np.concatenate([[0.0], np.cumsum(of_word[which])])
+            return (running[sums[1:]] - running[sums[:-1]] + of_end).tobytes()
+
+        base = per_document(np.log10((c + ALPHA) / bottom), float(np.log10((vocabulary.ends + ALPHA) / bottom)))
+        n_known = per_document((c > 0).astype(float), float(vocabulary.ends > 0))
+        packed_tokens = zstandard.ZstdCompressor(level=1).compress(tokens.astype(np.uint16).tobytes())
+        row = (table["block"][0].as_py(), ids.tobytes(), np.diff(off).tobytes(), packed_tokens, n_known, base, per_document(inside, 0.0))
+        kinds = [pa.int32(), *[pa.binary()] * 6]
+        return pa.table({x.split(" ")[0]: pa.array([v], k) for x, v, k in zip(CODED.split(", "), row, kinds, strict=True)})
+
+    return packed.groupBy("block").cogroup(stats.select("block", "bucket", "answer").groupBy("block")).applyInArrow(code, CODED)
+
+
+def _coded(it):
+    """Of each CODED row: ids, documents' bounds, tokens, n_known, base and inside."""
+    un = zstandard.ZstdDecompressor()
+    for batch in it:
+        for i in range(batch.num_rows):
+            _, ids, lens, tokens, *sums = (column[i].as_py() for column in batch.columns)
+            off = np.concatenate([[0], np.cumsum(np.frombuffer(lens, np.int64))])
+            yield np.frombuffer(ids, np.int64), off, np.frombuffer(un.decompress(tokens), np.uint16).astype(np.int64), *[np.frombuffer(x) for x in sums]
+
+
+def round_of(ids: np.ndarray) -> np.ndarray:
+    """The one round that each document is learned from in; -1 if it is held out."""
+    rounds = np.array([zlib.crc32(b"share %d" % i) % ROUNDS for i in ids.tolist()], np.int64)
+    return np.where(held_out(ids), -1, rounds)
+
+
+def fit(coded: DataFrame, vocabulary: Vocabulary) -> Params:
     """ROUNDS of local training in every block and averaging over all of them, weighted by tokens."""
     p = start(vocabulary)
-    answers = stats.select("block", "bucket", "answer")
 
     def trainer(p: Params, r: int):
-        def local(table: pa.Table, answers: pa.Table) -> pa.Table:
-            ids, held, counts, keys, which = _words(table)
-            mine = ~held & (np.array([zlib.crc32(b"share %d" % i) % SHARE for i in ids.tolist()]) == r)
-            token, _ = vocabulary.tokens(keys, _answers(keys, bits, answers) if len(keys) else np.empty(0, np.int64))
-            tokens, off = _with_ends(token[which[np.repeat(mine, counts)]], counts[mine], vocabulary.end)
-            begin = np.zeros(len(tokens), bool)
-            begin[off[:-1]] = True
-            new, n = train(p, tokens, begin, vocabulary.end)
-            return pa.table({"n": pa.array([n], pa.int64()), "values": pa.array([flat(new).tolist()], pa.list_(pa.float32()))})
+        def local(it):
+            for ids, off, tokens, *_ in _coded(it):
+                mine = round_of(ids) == r
+                begin = np.zeros(len(tokens), bool)
+                begin[off[:-1]] = True
+                on = np.repeat(mine, np.diff(off))
+                new, n = train(p, tokens[on], begin[on], vocabulary.end)
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), list_array(flat(new), np.array([sum(x.size for x in new.values())]), pa.float32())], names=["n", "values"])
 
         return local
 
     for r in range(ROUNDS):
-        trained = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(trainer(p, r), "n long, values array<float>")
+        trained = coded.mapInArrow(trainer(p, r), "n long, values array<float>")
         each = trained.where("n > 0").select("n", F.posexplode("values").alias("i", "v"))
         mean = each.groupBy("i").agg((F.sum(F.col("v").cast("double") * F.col("n")) / F.sum("n")).alias("v")).toArrow()  # one row for each parameter
         if mean.num_rows:
@@ -391,38 +469,27 @@ def score_documents(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
     stats = cut(count_words(packed, bits))
     known = F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")), F.lit(10)) != 0)
     vocabulary = vocabulary_of(stats, docs.where(known).count())
-    p = fit(packed, stats, bits, vocabulary)
-    bottom = vocabulary.n + ALPHA * (vocabulary.v + 1)
-
-    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, held, counts, keys, which = _words(table)
-        c = _answers(keys, bits, answers) if len(keys) else np.empty(0, np.int64)
-        sums = np.concatenate([[0], np.cumsum(counts)])
-
-        def per_document(of_word: np.ndarray, of_end: float) -> np.ndarray:
-            running = np.concatenate([[0.0], np.cumsum(of_word[which])])
-            return running[sums[1:]] - running[sums[:-1]] + of_end
-
-        base = per_document(np.log10((c + ALPHA) / bottom), float(np.log10((vocabulary.ends + ALPHA) / bottom)))
-        n_known = per_document((c > 0).astype(float), float(vocabulary.ends > 0))
-        model = base
-        if vocabulary.n:
-            token, inside = vocabulary.tokens(keys, c)
-            tokens, off = _with_ends(token[which], counts, vocabulary.end)
-            model = (score(p, tokens, off, vocabulary.end) + per_document(inside, 0.0)) / np.log(10)
-        return pa.table(
-            {
-                "doc_id": pa.array(ids, pa.int64(), mask=ids == B.NULL_ID),
-                "held_out": pa.array(held),
-                "n_tokens": pa.array(counts + 1, pa.int64()),
-                "n_known": pa.array(np.rint(n_known).astype(np.int64)),
-                "train_tokens": pa.array(np.full(len(ids), vocabulary.n), pa.int64()),
-                "base_score": pa.array(base),
-                "score": pa.array(model.astype(float)),
-            }
-        )
-
-    return packed.groupBy("block").cogroup(stats.select("block", "bucket", "answer").groupBy("block")).applyInArrow(finish, SCORED)
+    coded = cut(encode(packed, stats, bits, vocabulary))
+    release(docs.sparkSession)
+    p = fit(coded, vocabulary)
+
+    def finish(it):
+        for ids, off, tokens, n_known, base, inside in _coded(it):
+            model = (score(p, tokens, off, vocabulary.end) + inside) / np.log(10) if vocabulary.n else base
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64(), mask=ids == B.NULL_ID),
+                    pa.array(held_out(ids)),
+                    pa.array(np.diff(off), pa.int64()),
+                    pa.array(np.rint(n_known).astype(np.int64)),
+                    pa.array(np.full(len(ids), vocabulary.n), pa.int64()),
+                    pa.array(base),
+                    pa.array(model),
+                ],
+                names=[x.split(" ")[0] for x in SCORED.split(", ")],
+            )
+
+    return coded.mapInArrow(finish, SCORED)
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -392,6 +392,16 @@ def test_language_model(spark, rows):
     assert sum(r.score for r in new) > sum(r.base_score for r in new)
 
 
+def test_language_model_learns_from_every_document(spark):
+    lone = [next(i for i in range(3000, 4000) if zlib.crc32(str(i).encode()) % 10 and zlib.crc32(b"share %d" % i) % 16 == k) for k in (4, 9)]
+    new = next(i for i in range(4000, 5000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    for i in lone:  # the only training document, whatever its id
+        got = {r.doc_id: r for r in R.score_documents(frame(spark, [(i, "a b c d " * 6000, "s"), (new, "a b c d " * 20, "s")])).collect()}
+        assert not got[i].held_out and got[new].score > 0.9 * got[new].base_score
+    rounds = R.round_of(np.arange(500))
+    assert set(rounds.tolist()) == {-1, *range(R.ROUNDS)} and ((rounds < 0) == R.held_out(np.arange(500))).all()
+
+
 def test_language_model_gradient_and_state():
     words_n, sums = np.zeros(R.TAIL_CLASSES, np.int64), np.zeros(R.TAIL_CLASSES, np.int64)
     words_n[0], sums[0] = 50, 50
