@@ -191,13 +191,16 @@ def log_probs(p: Params, h: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 def train(p: Params, tokens: np.ndarray, begin: np.ndarray, end: int) -> tuple[Params, int]:
     """Truncated backpropagation over streams of documents back to back. tokens: all documents'
-    tokens; begin: True at a document's first. The state carries over windows, gradients do not."""
+    tokens; begin: True at a document's first. The state carries over windows, gradients do not. The
+    last stream is padded with tokens of no loss."""
     streams = max(1, min(STREAMS, len(tokens) // WINDOW))
-    length = len(tokens) // streams
+    length = -(-len(tokens) // streams)
     if not length:
         return p, 0
-    target = tokens[: streams * length].reshape(streams, length).T
-    fresh = begin[: streams * length].reshape(streams, length).T.copy()
+    pad = streams * length - len(tokens)
+    target = np.concatenate([tokens, np.full(pad, end, tokens.dtype)]).reshape(streams, length).T
+    fresh = np.concatenate([begin, np.ones(pad, bool)]).reshape(streams, length).T.copy()
+    real = (np.arange(streams * length) < len(tokens)).reshape(streams, length).T
     fresh[0] = True
     given = np.concatenate([np.full((1, streams), end), target[:-1]])
     given = np.where(fresh, end, given)
@@ -207,7 +210,7 @@ def train(p: Params, tokens: np.ndarray, begin: np.ndarray, end: int) -> tuple[P
     h = np.zeros((streams, HIDDEN), np.float32)
     for t, a in enumerate(range(0, length, WINDOW), 1):
         b = min(a + WINDOW, length)
-        by_name, h = _window(p, given[a:b], target[a:b], fresh[a:b], h)
+        by_name, h = _window(p, given[a:b], target[a:b], fresh[a:b], h, real[a:b])
         g = flat(by_name)
         fix = np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         m *= 0.9
@@ -221,11 +224,12 @@ def train(p: Params, tokens: np.ndarray, begin: np.ndarray, end: int) -> tuple[P
         np.divide(m, g, out=g)
         g *= RATE * fix
         values -= g
-    return p, streams * length
+    return p, len(tokens)
 
 
-def _window(p: Params, given: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[Params, np.ndarray]:
-    """Gradients of the mean negative log-likelihood over one window, and the state after it."""
+def _window(p: Params, given: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray, real: np.ndarray | None = None) -> tuple[Params, np.ndarray]:
+    """Gradients of the mean negative log-likelihood over one window, and the state after it. real:
+    which targets count, all by default."""
     kind, shape = h.dtype, (*given.shape, HIDDEN)
     before, rh, c, after = (np.empty(shape, kind) for _ in range(4))
     gates = np.empty((*given.shape, 2 * HIDDEN), kind)
@@ -235,10 +239,12 @@ def _window(p: Params, given: np.ndarray, target: np.ndarray, fresh: np.ndarray,
         h, gates[t], rh[t], c[t] = step(p, x[t], before[t])
         after[t] = h
     states, token = after.reshape(-1, HIDDEN), target.reshape(-1)
-    n, classes = len(token), _class_of(token)
+    on = np.ones(len(token), bool) if real is None else real.reshape(-1)
+    n, classes = np.count_nonzero(on), np.where(on, _class_of(token), CLASSES)
     g = {k: np.zeros_like(x) for k, x in p.items()}
     d = _softmax(states @ p["wc"] + p["bc"])
-    d[np.arange(n), classes] -= 1
+    d[~on] = 0
+    d[np.flatnonzero(on), classes[on]] -= 1
     d /= n
     g["wc"], g["bc"] = states.T @ d, d.sum(0)
     d_states = d @ p["wc"].T

@@ -402,6 +402,26 @@ def test_language_model_learns_from_every_document(spark):
     assert set(rounds.tolist()) == {-1, *range(R.ROUNDS)} and ((rounds < 0) == R.held_out(np.arange(500))).all()
 
 
+def test_language_model_learns_from_every_token():
+    none = np.zeros(R.TAIL_CLASSES, np.int64)
+    v = R.Vocabulary.of([(40, 3), (30, 1)], none, none, 20)
+    rng = np.random.default_rng(4)
+    for n in (1, 47, 1001, 24 * 32 + 31):
+        tokens, begin = rng.integers(0, 3, n), rng.random(n) < 0.1
+        assert R.train(R.start(v), tokens, begin, v.end)[1] == n
+    # a word that stands only at the very end is learned, and padding is not
+    tokens = np.concatenate([rng.integers(0, 3, 24 * 32 + 30), [5]])
+    p = R.train(R.start(v), tokens, np.zeros(len(tokens), bool), v.end)[0]
+    assert p["bo"][0, 5] > R.start(v)["bo"][0, 5]
+    given, target, fresh, h = rng.integers(0, 3, (5, 3)), rng.integers(0, 3, (5, 3)), np.zeros((5, 3), bool), np.zeros((3, R.HIDDEN), np.float32)
+    real = np.ones((5, 3), bool)
+    real[3:, 2] = False
+    one = R._window(p, given, target, fresh, h, real)[0]
+    target[3:, 2] = 7
+    two = R._window(p, given, target, fresh, h, real)[0]
+    assert all((one[k] == two[k]).all() for k in one)
+
+
 def test_language_model_gradient_and_state():
     words_n, sums = np.zeros(R.TAIL_CLASSES, np.int64), np.zeros(R.TAIL_CLASSES, np.int64)
     words_n[0], sums[0] = 50, 50
