@@ -398,8 +398,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> D
         links = links.unionByName(cut(_verify(inner, docs, classes, n, bands).where("linked").select("x", "y")))
         release(docs.sparkSession)
     named = links.join(classes.select(F.col("h").alias("x"), F.col("rep").alias("rx")), "x").join(classes.select(F.col("h").alias("y"), F.col("rep").alias("ry")), "y")
-    found = components(named.select(F.col("rx").alias("x"), F.col("ry").alias("y")))
-    by_set = classes.join(found, F.col("rep") == F.col("v"), "left").select("h", "rep", F.coalesce("label", "rep").alias("label"))
+    # a vertex is a set, since different sets may share a doc_id; the smallest has the smallest doc_id
+    found = components(named.select(F.struct(F.col("rx").alias("rep"), F.col("x").alias("h")).alias("x"), F.struct(F.col("ry").alias("rep"), F.col("y").alias("h")).alias("y")))
+    found = found.select(F.col("v")["h"].alias("h"), F.col("label")["rep"].alias("first"))
+    by_set = classes.join(found, "h", "left").select("h", "rep", F.coalesce("first", "rep").alias("label"))
 
     def known(c: str):
         return F.nullif(F.col(c), F.lit(int(NULL_ID)))

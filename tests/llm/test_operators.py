@@ -274,6 +274,16 @@ def test_jaccard_join(spark, rows, monkeypatch, n, p, q, small, hot):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_links(more, n, p, q)
 
 
+def test_jaccard_join_tells_sets_of_one_id_apart(spark):
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    # two null-id texts, and two texts of id 30, each near another document that the other is not near
+    rows = [(7, a, "s"), (None, a + " x", "s"), (9, b, "s"), (None, b + " x", "s"), (20, c, "s"), (30, c + " x", "s"), (21, d, "s"), (30, d + " x", "s")]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in P.near_duplicates(frame(spark, rows)).collect())
+    assert got == brute_links(rows, 3, 90, 100)
+    assert {(k[0], k[2]) for k in got} == {(7, 7), (None, 7), (9, 9), (None, 9), (20, 20), (30, 20), (21, 21), (30, 21)}
+
+
 # 7
 
 
