@@ -23,12 +23,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by Jaccard 0.8 on five-word shingles stays: the one of
-    the smallest doc_id, with all its rows if it has several. Documents without words are no
-    copies of each other and stay, and so do rows without a doc_id, which nothing could name."""
+    the smallest doc_id, with all its rows if it has several. Rows of one doc_id with different
+    shingles are different documents. Documents without words are no copies of each other and stay,
+    and so do rows without a doc_id."""
     found = parity.near_duplicates(docs, n=5, p=80, q=100)
-    gone = found.where("n_shingles > 0 AND doc_id <> component_id").select(F.struct("doc_id").alias("__id")).distinct()
-    kept = docs.withColumn("__id", F.struct("doc_id")).join(gone, "__id", "left_anti").drop("__id")
-    return kept
+    # nulls are equal to nulls inside a struct
+    gone = found.where("doc_id IS NOT NULL AND NOT first").select(F.struct("doc_id", "text_hash").alias("__row")).distinct()
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    return docs.withColumn("__row", own).join(gone, "__row", "left_anti").drop("__row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,14 +165,14 @@ def common_shingles(docs: DataFrame, n: int, rows: int, sample: int = SAMPLE, le
 
 
 def _classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, h) of every row."""
+    """(doc_id, text_hash, n_shingles, h) of every row."""
 
     def run(it):
         for batch, texts in batches_of(it):
             sets, code = shingle_sets(texts, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(code.view(np.int64))], names=["doc_id", "n_shingles", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(code.view(np.int64))], names=["doc_id", "text_hash", "n_shingles", "h"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h long")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, h long")
 
 
 def _key_rows(docs: DataFrame, n: int, bands: Bands, shingles: int) -> DataFrame:
@@ -381,8 +381,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of every row. class_id: the smallest doc_id with
-    an equal set; component_id: the smallest doc_id reachable over pairs of Jaccard p/q or more."""
+    """(doc_id, n_shingles, class_id, component_id, text_hash, first) of every row. class_id: the
+    smallest doc_id with an equal set; component_id: the smallest doc_id reachable over pairs of
+    Jaccard p/q or more; first: the row is of that doc_id and of the component's smallest set with
+    it, or has no shingles."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(_classes(docs, n))
     classes = cut(rows.where("n_shingles > 0").groupBy("h").agg(F.min("doc_id").alias("rep")))
@@ -400,15 +402,16 @@ def near_duplicates(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> D
     named = links.join(classes.select(F.col("h").alias("x"), F.col("rep").alias("rx")), "x").join(classes.select(F.col("h").alias("y"), F.col("rep").alias("ry")), "y")
     # a vertex is a set, since different sets may share a doc_id; the smallest has the smallest doc_id
     found = components(named.select(F.struct(F.col("rx").alias("rep"), F.col("x").alias("h")).alias("x"), F.struct(F.col("ry").alias("rep"), F.col("y").alias("h")).alias("y")))
-    found = found.select(F.col("v")["h"].alias("h"), F.col("label")["rep"].alias("first"))
-    by_set = classes.join(found, "h", "left").select("h", "rep", F.coalesce("first", "rep").alias("label"))
+    found = found.select(F.col("v")["h"].alias("h"), F.col("label"))
+    by_set = classes.join(found, "h", "left").select("h", "rep", F.coalesce("label", F.struct("rep", "h")).alias("label"))
 
     def known(c: str):
         return F.nullif(F.col(c), F.lit(int(NULL_ID)))
 
-    labelled = rows.where("n_shingles > 0").join(by_set, "h").select("doc_id", "n_shingles", "rep", "label")
-    blank = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), F.col("doc_id").alias("label"))
-    return labelled.unionByName(blank).select(known("doc_id").alias("doc_id"), "n_shingles", known("rep").alias("class_id"), known("label").alias("component_id"))
+    first = (F.col("doc_id") == F.col("label")["rep"]) & (F.col("h") == F.col("label")["h"])
+    labelled = rows.where("n_shingles > 0").join(by_set, "h").select("doc_id", "n_shingles", "rep", F.col("label")["rep"].alias("label"), "text_hash", first.alias("first"))
+    blank = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), F.col("doc_id").alias("label"), "text_hash", F.lit(True).alias("first"))
+    return labelled.unionByName(blank).select(known("doc_id").alias("doc_id"), "n_shingles", known("rep").alias("class_id"), known("label").alias("component_id"), "text_hash", "first")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

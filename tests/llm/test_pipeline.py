@@ -39,3 +39,14 @@ def test_stages(spark, tmp_path):
     assert ids["decontamination"] == every - toxic - {500, 501, 502}
     assert ids["source_mixing"] <= ids["decontamination"] and ids["sharding"] == ids["source_mixing"]
     assert C.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_near_duplicates_tell_rows_of_one_id_apart(spark):
+    rng = random.Random(13)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    # one text of id 30 is near document 7, the other is clean; of two near texts of id 40 one stays
+    rows = [(7, a), (30, a + " x"), (30, b), (30, b.upper()), (40, c), (40, c + " x"), (40, None), (50, " "), (50, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in C.drop_near_duplicates(spark, docs, "").collect()]
+    assert len([r for r in got if r[1] in (c, c + " x")]) == 1
+    assert sorted((r for r in got if r[1] not in (c, c + " x")), key=repr) == sorted([(7, a), (30, b), (30, b.upper()), (40, None), (50, " "), (50, " ")], key=repr)
