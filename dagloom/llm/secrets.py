@@ -36,6 +36,8 @@ TOKEN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="]]
 LEAST_NOVEL = 20
 CONTEXT_BYTES = 48
 SENSITIVE = re.compile(rb"(?i:key|secret|token|auth|bearer|credential|private|passw|pwd|access)")
+#: what stands between parts of one secret: lines of a key, parts of a signed token
+JOINT = re.compile(rb"\.|\r?\n[\x20\t]*")
 #: added compressed bytes for each byte of a candidate; random base64 has 0.75, hex 0.5
 NOVELTY = 0.55
 
@@ -93,10 +95,12 @@ def spans_of(text: bytes, hexes: list[tuple[int, int]], tokens: list[tuple[int,
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     out += [(a, 2, b) for a, b in hexes]
     scored = [(a, k, b, novelty.added(text[max(0, a - CONTEXT_BYTES) : a], text[a:b], text[b : b + CONTEXT_BYTES])) for a, k, b in out]
+    joined = 0  # end of the last candidate in a sensitive context
     for a, b in tokens:
         before = text[max(0, a - CONTEXT_BYTES) : a]
         # the name of an assignment may touch its value, so the candidate's own head counts too
-        if SENSITIVE.search(before) or SENSITIVE.search(text[a : a + 16]):
+        if SENSITIVE.search(before) or SENSITIVE.search(text[a : a + 16]) or (joined and JOINT.fullmatch(text, joined, a)):
+            joined = b
             added = novelty.added(before, text[a:b], text[b : b + CONTEXT_BYTES])
             if added >= NOVELTY:
                 scored.append((a, 3, b, added))
