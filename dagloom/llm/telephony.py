@@ -164,25 +164,31 @@ def encode(docs: DataFrame) -> DataFrame:
 
 
 def expand(parsed: list[tuple[int, int, bytes] | None]) -> list[np.ndarray | None]:
-    """16-bit PCM of each parsed file; ADPCM blocks of one size are decoded together."""
+    """16-bit PCM of each parsed file; ADPCM blocks of one size are decoded together. A shorter
+    last block with a whole header is a block of its own size."""
     out: list[np.ndarray | None] = [None] * len(parsed)
-    by_size: dict[int, list[int]] = {}
+    by_size: dict[int, list[tuple[int, bytes]]] = {}
     for i, p in enumerate(parsed):
         if p is None:
             continue
         codec, block, data = p
         if codec == ADPCM:
             if block > 4:
-                by_size.setdefault(block, []).append(i)
+                whole = len(data) // block * block
+                by_size.setdefault(block, []).append((i, data[:whole]))
+                if len(data) - whole >= 4:
+                    by_size.setdefault(len(data) - whole, []).append((i, data[whole:]))
         else:
             out[i] = (MULAW_TO_PCM if codec == MULAW else ALAW_TO_PCM)[np.frombuffer(data, np.uint8)]
-    for block, of in by_size.items():
-        counts = [len(parsed[i][2]) // block for i in of]
-        data = b"".join(parsed[i][2][: n * block] for i, n in zip(of, counts, strict=True))
-        pcm = decode_adpcm(np.frombuffer(data, np.uint8).reshape(-1, block))
-        at = np.concatenate([[0], np.cumsum(counts)]).tolist()
-        for i, a, b in zip(of, at[:-1], at[1:], strict=True):
-            out[i] = pcm[a:b].reshape(-1)
+    found: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for size, of in by_size.items():
+        pcm = decode_adpcm(np.frombuffer(b"".join(data for _, data in of), np.uint8).reshape(-1, size))
+        at = np.concatenate([[0], np.cumsum([len(data) // size for _, data in of])]).tolist()
+        for (i, _), a, b in zip(of, at[:-1], at[1:], strict=True):
+            found.setdefault(i, []).append((size, pcm[a:b].reshape(-1)))
+    for i, parts in found.items():
+        # a file's last block is smaller than its others
+        out[i] = np.concatenate([x for _, x in sorted(parts, key=lambda x: -x[0])])
     return out
 
 

@@ -95,6 +95,22 @@ def test_codecs_against_scalar_decoders():
     assert A.parse_wav(b"nonsense") is None and A.parse_wav(None) is None
 
 
+def test_adpcm_last_block_may_be_short():
+    rng = np.random.default_rng(8)
+    data = rng.integers(0, 256, 3 * 96 + 50, dtype=np.uint8).tobytes()
+    files = [(A.ADPCM, 96, data), (A.ADPCM, 50, data[:103]), (A.ADPCM, 96, data[:288]), (A.ADPCM, 96, data[:4]), (A.ADPCM, 96, b""), None]
+    got = A.expand(files)
+
+    def blocks(sizes, at=0):
+        out = []
+        for n in sizes:
+            out += A.decode_adpcm(np.frombuffer(data[at : at + n], np.uint8).reshape(1, n))[0].tolist()
+            at += n
+        return out
+
+    assert [None if x is None else x.tolist() for x in got] == [blocks([96, 96, 96, 50]), blocks([50, 50]), blocks([96] * 3), blocks([4]), [], None]
+
+
 # 2
 
 
