@@ -10,17 +10,22 @@ documents share, say next to nothing and are not sent by a set that has at most
 its L + 3 agreeing blocks are then heavier ones. Sets of so few shingles that most blocks would be
 empty send their first shingles in hash order instead, as many as a linked set must meet.
 
-Sets that share a key are candidates and are verified on the shingles themselves. Equal sets are
-collapsed first. Of small groups, pairs that share three keys are verified; a large one sends a star
-around one member, and then only members not linked to the centre are held, in chunks, against the
-others, by the shingles in which they differ from the centre. So no group is gathered whole in one
-task for its keys, nor are its pairs emitted, and every link between different sets that joins two
-components is found.
+Sets that share a key are candidates: of small groups the pairs that share three keys, of a large one
+a star around one member. Before any text moves, candidates are held against whole sketches of the
+sets (a few bits for each shingle that linked sets may differ in), whose Hamming distance is never
+above the difference; only pairs within the bound are verified, on the shingles themselves. Equal
+sets are collapsed first. What is linked so far makes components. Members of a star that are not
+linked to its centre are then held against the members of other components, sketch by sketch, in
+tiles of bounded numbers of members; of the pairs within the bound those closest to each component
+are verified first, and more of them, in growing portions, only while the components stay apart. So
+no group is gathered whole in one task, nor are its pairs emitted, and every link between different
+sets that joins two components is found.
 
 Defined results: a set without shingles (null, empty or blank text) links with nothing; a text of
-fewer words than a shingle is one shingle; repeated rows and equal sets are one class; a null
-doc_id counts as the largest id; an empty table gives an empty result; extra columns are ignored.
-Sets are identified by 64-bit hashes.
+fewer words than a shingle is one shingle; a very long text has as many keys and sketch bits as its
+size asks for and is compared whole; ties between members for a star's centre go to the smaller hash;
+repeated rows and equal sets are one class; a null doc_id counts as the largest id; an empty table
+gives an empty result; extra columns are ignored. Sets are identified by 64-bit hashes, texts by 128 bits.
 """
 
 from __future__ import annotations
@@ -28,13 +33,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from dagloom.llm.blocks import NULL_ID, pack_keys, split, unpack_keys
-from dagloom.llm.tokens import U64, Texts, batches_of, fold, list_array, mix, windows, word_hashes
-from dagloom.session import cut, release
+from dagloom.llm.tokens import U64, Texts, batches_of, fold, free_memory, list_array, mix, windows, word_hashes
+from dagloom.session import Scratch, cut
 
 #: bits of a sketch's block
 BLOCK_BITS = 16
@@ -42,8 +46,14 @@ BLOCK_BITS = 16
 SMALL = 6
 #: keys that linked sets share at least
 SUPPORT = 3
-#: unlinked members of a star in one task
-CHUNK = 1024
+#: members of a star in one task: those not linked to its centre, and those they are held against
+CHUNK, TILE = 1024, 4096
+#: pairs that a member sends for each other component in the first round, and the growth by round
+PORTION, GROWTH = 16, 8
+#: sketch bits for each shingle in which linked sets may differ, and the least
+BITS_EACH, LEAST_BITS = 4, 64
+#: texts to verify are picked by a broadcast of up to so many hashes (16 bytes each)
+BROADCAST_TEXTS = 1 << 20
 #: a key that so many sets of one batch hold goes to one of SPREAD buckets beside the others
 HOT, SPREAD, PROXY = 32, 1 << 10, np.iinfo(np.int64).min
 KEYS_PER_BUCKET = 1 << 20
@@ -90,6 +100,14 @@ class Bands:
     def linked(self, both: int, a: int, b: int) -> bool:
         return self.q * both >= self.p * (a + b - both)
 
+    def sketch(self, s: np.ndarray) -> bytes:
+        """The parities of a set in as many bits as its size asks for, a power of two."""
+        bits = LEAST_BITS
+        while bits < BITS_EACH * self.most_apart(len(s), len(s)):
+            bits *= 2
+        odd = np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
     def band(self, a: int) -> int:
         return int(np.log(a) / self._step + 1e-9)
 
@@ -147,6 +165,28 @@ class Bands:
         return ((s >> U64(32)) * U64(m)) >> U64(32)
 
 
+def fold_sketches(blobs: list[bytes], width: int) -> np.ndarray:
+    """Sketches of one length as rows of 64-bit words, folded to `width` bytes: bits whose index
+    agrees in the low bits are one bit of the shorter sketch."""
+    rows = np.frombuffer(b"".join(blobs), U64).reshape(len(blobs), -1)
+    while rows.shape[1] * 8 > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def _apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Hamming distances of x[i] and y[i]."""
+    out = np.zeros(len(x), np.int64)
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for i, (a, b) in enumerate(zip(x, y, strict=True)):
+        kinds.setdefault((len(a), len(b)), []).append(i)
+    for (a, b), rows in kinds.items():
+        one, two = (fold_sketches([side[i] for i in rows], min(a, b)) for side in (x, y))
+        out[rows] = np.bitwise_count(one ^ two).sum(1)
+    return out
+
+
 def common_shingles(docs: DataFrame, n: int, rows: int, sample: int = SAMPLE, least: int = COMMON) -> np.ndarray:
     """Shingles of `least` or more different sets of a sample of about `sample` documents. Both
     numbers bound what the driver gets; they steer cost, not results."""
@@ -164,15 +204,27 @@ def common_shingles(docs: DataFrame, n: int, rows: int, sample: int = SAMPLE, le
     return np.sort(found["g"].to_numpy().view(U64))
 
 
-def _classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, h) of every row."""
+TEXT = ("t1", "t2")
+ROWS = "doc_id long, t1 long, t2 long, n_shingles long, h long, sketch binary"
+
+
+def text_hash(text: Column) -> list[Column]:
+    """128 bits of two independent hashes of a text."""
+    return [F.xxhash64(F.lit(i), text.cast("string")).alias(c) for i, c in enumerate(TEXT)]
+
+
+def _classes(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
+    """ROWS of every row."""
 
     def run(it):
         for batch, texts in batches_of(it):
             sets, code = shingle_sets(texts, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(code.view(np.int64))], names=["doc_id", "text_hash", "n_shingles", "h"])
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", *TEXT)]
+            sketches = pa.array([bands.sketch(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(s) for s in sets], pa.int64()), pa.array(code.view(np.int64)), sketches], names=[x.split(" ")[0] for x in ROWS.split(", ")])
+        free_memory()
 
-    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, h long")
+    return docs.select("doc_id", "text", *text_hash(F.col("text"))).mapInArrow(run, ROWS)
 
 
 def _key_rows(docs: DataFrame, n: int, bands: Bands, shingles: int) -> DataFrame:
@@ -197,7 +249,7 @@ def _key_rows(docs: DataFrame, n: int, bands: Bands, shingles: int) -> DataFrame
                     sent.add(h)
                     out.append(bands.keys(s))
                     held.append(h)
-            if len(sent) > 1 << 20:
+            if len(sent) > 1 << 17:
                 sent.clear()
             if not out:
                 continue
@@ -216,6 +268,7 @@ def _key_rows(docs: DataFrame, n: int, bands: Bands, shingles: int) -> DataFrame
                 rows.append(coded(-1 - int(h[0] % SPREAD), keys[hot], own[hot], h))
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=["bucket", "n", "keys", "own", "sets"])
+        free_memory()
 
     def shared(table: pa.Table) -> pa.Table:
         ns = table["n"].to_pylist()
@@ -243,10 +296,11 @@ def _candidates(rows: DataFrame) -> DataFrame:
     """(x, y, star): all pairs of small groups, stars of large ones. A star's centre x is the member
     that shares the most keys: in a group of near copies that is one of the least edited, and the
     same one for most of the group's keys."""
-    degree = F.count(F.lit(1)).over(Window.partitionBy("h"))
-    whole = Window.partitionBy("key")
-    ranked = rows.select("key", "h", F.struct((-degree).alias("d"), "h").alias("rank"))
-    sized = ranked.select("key", "h", F.count(F.lit(1)).over(whole).alias("k"), F.min("rank").over(whole)["h"].alias("x"))
+    degree = rows.groupBy("h").agg((-F.count(F.lit(1))).alias("d"))
+    ranked = rows.join(degree, "h").select("key", "h", F.struct("d", "h").alias("rank"))
+    # counts and centres are aggregated and joined back: no task holds a key's sets together
+    groups = ranked.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("rank")["h"].alias("x"))
+    sized = ranked.select("key", "h").join(groups, "key")
     star = sized.where((F.col("k") > SMALL) & (F.col("x") != F.col("h"))).select("x", F.col("h").alias("y"), F.lit(True).alias("star"))
     few = sized.where((F.col("k") <= SMALL) & (F.col("k") > 1)).groupBy("key").agg(F.sort_array(F.collect_set("h")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, SMALL), lambda y: F.struct(x.alias("x"), y.alias("y")))))
@@ -256,109 +310,110 @@ def _candidates(rows: DataFrame) -> DataFrame:
     return star.unionByName(small).groupBy("x", "y").agg(F.max("star").alias("star"))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, z): the texts, compressed before they travel."""
+def _near(edges: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
+    """(x, y, star, near): edges, and whether their sketches are within the bound of linked sets."""
+    x, y = (classes.select(F.col("h").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "xy")
 
     def run(it):
-        z = zstandard.ZstdCompressor(level=3)
-        for batch, texts in batches_of(it):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(texts.bytes_of(i)) for i in range(len(texts))], pa.binary())], names=["doc_id", "z"])
+        for batch in it:
+            n_x, n_y = (batch.column(k).to_numpy() for k in (3, 4))
+            near = _apart(batch.column(5).to_pylist(), batch.column(6).to_pylist()) <= bands.most_apart(n_x, n_y)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(near)], names=["x", "y", "star", "near"])
+        free_memory()
 
-    return docs.mapInArrow(run, "doc_id long, z binary")
+    both = edges.join(x, "x").join(y, "y").select("x", "y", "star", "n_x", "n_y", "s_x", "s_y")
+    return both.mapInArrow(run, "x long, y long, star boolean, near boolean")
 
 
-#: of a star's edges also in what the member differs from the centre: a bit for each of the centre's
-#: shingles that it lacks, and 48 bits of the hash of each other shingle that it has
-VERIFIED = "x long, y long, star boolean, linked boolean, size_x int, size_y int, lacks binary, adds binary"
+def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(t1, t2, z): the needed texts, once each, compressed before they travel."""
+
+    def run(it):
+        z = zstandard.ZstdCompressor(level=3)
+        for batch, texts in batches_of(it):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([z.compress(texts.bytes_of(i)) for i in range(len(texts))], pa.binary())], names=[*TEXT, "z"])
+
+    hashed = docs.select(*text_hash(F.col("text")), "text")
+    few = needed.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+    if few:  # else all texts are shuffled, compressed
+        hashed = hashed.join(F.broadcast(needed), [*TEXT], "left_semi")
+    packed = hashed.mapInArrow(run, "t1 long, t2 long, z binary")
+    return (packed if few else packed.join(needed, [*TEXT], "left_semi")).groupBy(*TEXT).agg(F.first("z").alias("z"))
 
 
 def _verify(edges: DataFrame, docs: DataFrame, classes: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """VERIFIED rows: edges held against the texts of one document of each class."""
-    named = edges.join(classes.select(F.col("h").alias("x"), F.col("rep").alias("rx")), "x").join(classes.select(F.col("h").alias("y"), F.col("rep").alias("ry")), "y")
-    texts = _texts(docs)
-    both = named.join(texts.select(F.col("doc_id").alias("rx"), F.col("z").alias("zx")), "rx").join(texts.select(F.col("doc_id").alias("ry"), F.col("z").alias("zy")), "ry")
+    """(x, y, linked): edges held against one text of each class."""
+    named = edges.select("x", "y")
+    for c in "xy":
+        named = named.join(classes.select(F.col("h").alias(c), F.col("first.t1").alias(f"t1_{c}"), F.col("first.t2").alias(f"t2_{c}")), c)
+    needed = named.select(F.col("t1_x").alias("t1"), F.col("t2_x").alias("t2")).union(named.select("t1_y", "t2_y")).distinct()
+    texts = _texts(docs, needed)
+    for c in "xy":
+        named = named.join(texts.select(F.col("t1").alias(f"t1_{c}"), F.col("t2").alias(f"t2_{c}"), F.col("z").alias(f"z_{c}")), [f"t1_{c}", f"t2_{c}"])
 
     def run(it):
         un = zstandard.ZstdDecompressor()
         for whole in it:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                zs = batch.column(3).to_pylist() + batch.column(4).to_pylist()
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                zs = batch.column(2).to_pylist() + batch.column(3).to_pylist()
                 distinct = list(dict.fromkeys(zs))
-                sets, code = shingle_sets(Texts.of_list([un.decompress(z) for z in distinct]), n)
-                of = dict(zip(distinct, zip(sets, code.view(np.int64).tolist(), strict=True), strict=True))
-                kept, linked, size_x, size_y, lacks, adds = [], [], [], [], [], []
-                for i, (x, y, star) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
-                    (a, hx), (b, hy) = of[zs[i]], of[zs[batch.num_rows + i]]
-                    if (hx, hy) != (x, y):  # another text of the same doc_id
-                        continue
-                    has = np.isin(a, b, assume_unique=True)
-                    both = int(has.sum())
-                    kept.append(i)
-                    linked.append(bands.linked(both, len(a), len(b)))
-                    size_x.append(len(a))
-                    size_y.append(len(b))
-                    lacks.append(np.packbits(~has).tobytes() if star else None)
-                    adds.append(b[~np.isin(b, a, assume_unique=True)].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() if star else None)
-                if not kept:
-                    continue
-                same = [batch.column(k).take(pa.array(kept)) for k in range(3)]
-                yield pa.RecordBatch.from_arrays(
-                    [*same, pa.array(linked), pa.array(size_x, pa.int32()), pa.array(size_y, pa.int32()), pa.array(lacks, pa.binary()), pa.array(adds, pa.binary())],
-                    names=[c.split(" ")[0] for c in VERIFIED.split(", ")],
-                )
-
-    return both.select("x", "y", "star", "zx", "zy").mapInArrow(run, VERIFIED)
-
-
-def _inside_stars(verified: DataFrame, bands: Bands) -> DataFrame:
-    """(x, y): candidate links between members of a star, one of them not linked to its centre.
-    Members are compared by their differences from the centre: |X ^ Y| = |dx| + |dy| - 2 |dx & dy|.
-    Short hashes can only make an overlap look larger, so no link is missed; what comes out is
-    to be verified."""
-    stars = verified.where("star").select(F.col("x").alias("c"), F.col("y").alias("m"), "linked", F.col("size_y").alias("size"), "lacks", "adds")
-    loose = stars.where(~F.col("linked"))
-    chunks = loose.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    each = stars.join(chunks, "c")
-    own = F.when(~F.col("linked"), F.pmod(F.xxhash64("m"), F.col("chunks")).cast("int"))
-    # every member meets every chunk of unlinked members of its star
-    dealt = each.withColumn("own", own).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+                sets = dict(zip(distinct, shingle_sets(Texts.of_list([un.decompress(z) for z in distinct]), n)[0], strict=True))
+                linked = []
+                for zx, zy in zip(zs[: batch.num_rows], zs[batch.num_rows :], strict=True):
+                    a, b = sets[zx], sets[zy]
+                    linked.append(bands.linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], names=["x", "y", "linked"])
+        free_memory()
+
+    return named.select("x", "y", "z_x", "z_y").mapInArrow(run, "x long, y long, linked boolean")
+
+
+def _star_members(edges: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
+    """(c, m, loose, n, sketch) of the stars that have members not linked to their centre."""
+    linked = links.select(F.col("x").alias("c"), F.col("y").alias("m"), F.lit(True).alias("on"))
+    stars = edges.where("star").select(F.col("x").alias("c"), F.col("y").alias("m")).join(linked, ["c", "m"], "left").withColumn("loose", F.col("on").isNull())
+    some = stars.groupBy("c").agg(F.count_if("loose").alias("loose_n"), F.count(F.lit(1)).alias("members_n")).where("loose_n > 0 AND members_n > 1")
+    sets = classes.select(F.col("h").alias("m"), "n", "sketch")
+    return stars.join(some, "c").join(sets, "m").select("c", "m", "loose", "loose_n", "members_n", "n", "sketch")
+
+
+def _inside_stars(members: DataFrame, labels: DataFrame, start: DataFrame, bands: Bands, low: int, high: int) -> DataFrame:
+    """(x, y, rank): pairs of members of one star, x not linked to its centre, in different
+    components, whose sketches are within the bound. Of a member's pairs with each component of
+    `start` those that rank from `low` to `high` by distance are returned; one of rank `high`
+    says that there are more. Labels are (h, label)."""
+    named = members.join(start.select(F.col("h").alias("m"), F.col("label").alias("was")), "m", "left").join(labels.select(F.col("h").alias("m"), "label"), "m", "left")
+    named = named.select("c", "m", "loose", "n", "sketch", F.coalesce("was", "m").alias("was"), F.coalesce("label", "m").alias("label"), F.ceil(F.col("loose_n") / CHUNK).cast("int").alias("rows"), F.ceil(F.col("members_n") / TILE).cast("int").alias("columns"))
+    place = F.xxhash64("m")
+    left = named.where("loose").withColumns({"i": F.pmod(place, "rows").cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("columns") - 1)), "left": F.lit(True)})
+    right = named.withColumns({"j": F.pmod(place, "columns").cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("rows") - 1)), "left": F.lit(False)})
 
     def run(table: pa.Table) -> pa.Table:
-        m, size = table["m"].to_numpy(), table["size"].to_numpy().astype(np.int64)
-        own, chunk = table["own"].fill_null(-1).to_numpy(), table["chunk"][0].as_py()
-        each = []
-        for lacks, adds in zip(table["lacks"].to_pylist(), table["adds"].to_pylist(), strict=True):
-            added = np.zeros((len(adds) // 6, 8), np.uint8)
-            added[:, :6] = np.frombuffer(adds, np.uint8).reshape(-1, 6)
-            each.append(np.concatenate([np.flatnonzero(np.unpackbits(np.frombuffer(lacks, np.uint8))), added.reshape(-1).view(np.int64) + (1 << 50)]))
-        values, counts = np.concatenate(each), np.array([len(x) for x in each], np.int64)
-        code, value = np.unique(values, return_inverse=True)
-        member = np.repeat(np.arange(len(m)), counts)
-        order = np.argsort(value, kind="stable")
-        posting = np.searchsorted(value[order], np.arange(len(code) + 1))
-        holders = member[order]
-        at = np.concatenate([[0], np.cumsum(counts)])
-        xs, ys = [], []
-        part = np.where(own < 0, -1, np.arange(len(m)))  # those linked to the centre are one part
-        for i in np.flatnonzero(own == chunk).tolist():
-            mine = value[at[i] : at[i + 1]]
-            hit = np.concatenate([holders[posting[v] : posting[v + 1]] for v in mine.tolist()]) if len(mine) else np.empty(0, np.int64)
-            shared = np.bincount(hit, minlength=len(m))
-            differ = np.maximum(counts[i] + counts - 2 * shared, 0)
-            both = np.minimum((size[i] + size - differ) // 2, np.minimum(size[i], size))
-            on = np.flatnonzero(bands.q * both >= bands.p * (size[i] + size - both))
-            # one link to each other part joins all that the links join; two, should one be none
-            others, first = np.unique(part[on], return_index=True)
-            last = len(on) - 1 - np.unique(part[on][::-1], return_index=True)[1]
-            new = others != part[i]
-            to = np.unique(np.concatenate([on[first][new], on[last][new]]))
-            xs += [m[i]] * len(to)
-            ys += m[to].tolist()
-            part[np.isin(part, others)] = part[i]
-        return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
-
-    return dealt.select("c", "chunk", "m", "own", "size", "lacks", "adds").groupBy("c", "chunk").applyInArrow(run, "x long, y long")
+        is_left, m, n, was, label, loose = (table[c].to_numpy() for c in ("left", "m", "n", "was", "label", "loose"))
+        sketch = table["sketch"].to_pylist()
+        width = np.array([len(s) for s in sketch])
+        out: list[tuple[np.ndarray, ...]] = []
+        for a in np.unique(width[is_left]).tolist():
+            for b in np.unique(width[~is_left]).tolist():
+                xs, ys = np.flatnonzero(is_left & (width == a)), np.flatnonzero(~is_left & (width == b))
+                one, two = (fold_sketches([sketch[i] for i in side.tolist()], min(a, b)) for side in (xs, ys))
+                for x, own in zip(xs.tolist(), one, strict=True):
+                    ok = (label[ys] != label[x]) & (~loose[ys] | (m[ys] > m[x])) & (bands.q * np.minimum(n[ys], n[x]) >= bands.p * np.maximum(n[ys], n[x]))
+                    at = np.flatnonzero(ok)
+                    apart = np.bitwise_count(two[at] ^ own).sum(1, dtype=np.int64)
+                    near = apart <= bands.most_apart(n[ys[at]], n[x])
+                    out.append((np.full(int(near.sum()), x), ys[at[near]], apart[near]))
+        x, y, apart = (np.concatenate(c) if out else np.empty(0, np.int64) for c in (zip(*out, strict=True) if out else [()] * 3))
+        x, y = x.astype(np.int64), y.astype(np.int64)
+        order = np.lexsort((m[y], apart, was[y], x))
+        x, y = x[order], y[order]
+        new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (was[y[1:]] != was[y[:-1]])])) if len(x) else np.empty(0, np.int64)
+        rank = np.arange(len(x)) - np.repeat(new, np.diff(np.concatenate([new, [len(x)]])))
+        on = (rank >= low) & (rank <= high)
+        return pa.table({"x": pa.array(m[x[on]], pa.int64()), "y": pa.array(m[y[on]], pa.int64()), "rank": pa.array(rank[on], pa.int64())})
+
+    return left.unionByName(right).groupBy("c", "i", "j").applyInArrow(run, "x long, y long, rank long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -380,38 +435,62 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _labels(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """(h, label, rep): of every linked set the component, named by its smallest set, and that set's
+    doc_id. A vertex is a set, since different sets may share a doc_id; the smallest has the smallest doc_id."""
+    named = links.select("x", "y")
+    for c in "xy":
+        named = named.join(classes.select(F.col("h").alias(c), F.struct("first.doc_id", "h").alias(f"v_{c}")), c)
+    found = components(named.select(F.col("v_x").alias("x"), F.col("v_y").alias("y")))
+    return found.select(F.col("v.h").alias("h"), F.col("label.h").alias("label"), F.col("label.doc_id").alias("rep"))
+
+
+def _links(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int, bands: Bands, scratch: Scratch) -> DataFrame:
+    """Labels of all sets that are linked with any."""
+    edges = scratch.keep(_near(_candidates(keys), classes, bands))
+    links = scratch.keep(_verify(edges.where("near"), docs, classes, n, bands).where("linked").select("x", "y"))
+    start = labels = scratch.keep(_labels(links, classes))
+    members = scratch.keep(_star_members(edges, links, classes))
+    low, high = 0, PORTION
+    while not members.isEmpty():
+        pairs = scratch.keep(_inside_stars(members, labels, start, bands, low, high))
+        new = pairs.where(F.col("rank") < high).select("x", "y").distinct()
+        if new.isEmpty():
+            break
+        found = scratch.keep(_verify(new, docs, classes, n, bands).where("linked").select("x", "y"))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = scratch.keep(_labels(links, classes))
+        if pairs.where(F.col("rank") >= high).isEmpty():
+            break
+        low, high = high, high * GROWTH
+    return labels
+
+
 def near_duplicates(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id, text_hash, first) of every row. class_id: the
+    """(doc_id, n_shingles, class_id, component_id, t1, t2, first) of every row. class_id: the
     smallest doc_id with an equal set; component_id: the smallest doc_id reachable over pairs of
-    Jaccard p/q or more; first: the row is of that doc_id and of the component's smallest set with
-    it, or has no shingles."""
+    Jaccard p/q or more; t1, t2: hashes of the text; first: the row is of that doc_id and of the
+    component's smallest set with it, or has no shingles."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(_classes(docs, n))
-    classes = cut(rows.where("n_shingles > 0").groupBy("h").agg(F.min("doc_id").alias("rep")))
+    rows = cut(_classes(docs, n, Bands(p, q)))
+    sets = rows.where("n_shingles > 0").groupBy("h").agg(F.min(F.struct("doc_id", *TEXT)).alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     count, shingles = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    bands = Bands(p, q, common_shingles(docs, n, count))
-    edges = cut(_candidates(_key_rows(docs, n, bands, shingles)))
-    release(docs.sparkSession)
-    verified = cut(_verify(edges, docs, classes, n, bands))
-    release(docs.sparkSession)
-    inner = cut(_inside_stars(verified, bands).distinct().withColumn("star", F.lit(False)))
-    links = verified.where("linked").select("x", "y")
-    if not inner.isEmpty():
-        links = links.unionByName(cut(_verify(inner, docs, classes, n, bands).where("linked").select("x", "y")))
-        release(docs.sparkSession)
-    named = links.join(classes.select(F.col("h").alias("x"), F.col("rep").alias("rx")), "x").join(classes.select(F.col("h").alias("y"), F.col("rep").alias("ry")), "y")
-    # a vertex is a set, since different sets may share a doc_id; the smallest has the smallest doc_id
-    found = components(named.select(F.struct(F.col("rx").alias("rep"), F.col("x").alias("h")).alias("x"), F.struct(F.col("ry").alias("rep"), F.col("y").alias("h")).alias("y")))
-    found = found.select(F.col("v")["h"].alias("h"), F.col("label"))
-    by_set = classes.join(found, "h", "left").select("h", "rep", F.coalesce("label", F.struct("rep", "h")).alias("label"))
+    with Scratch(docs.sparkSession) as scratch:
+        classes = scratch.keep(sets)
+        bands = Bands(p, q, common_shingles(docs, n, count))
+        keys = scratch.keep(_key_rows(docs, n, bands, shingles))
+        labels = _links(docs, classes, keys, n, bands, scratch)
+        own = F.struct(F.col("first.doc_id").alias("rep"), "h")
+        by_set = cut(classes.join(labels.select("h", F.struct("rep", F.col("label").alias("h")).alias("label")), "h", "left").select("h", F.col("first.doc_id").alias("rep"), F.coalesce("label", own).alias("label")))
 
     def known(c: str):
         return F.nullif(F.col(c), F.lit(int(NULL_ID)))
 
     first = (F.col("doc_id") == F.col("label")["rep"]) & (F.col("h") == F.col("label")["h"])
-    labelled = rows.where("n_shingles > 0").join(by_set, "h").select("doc_id", "n_shingles", "rep", F.col("label")["rep"].alias("label"), "text_hash", first.alias("first"))
-    blank = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), F.col("doc_id").alias("label"), "text_hash", F.lit(True).alias("first"))
-    return labelled.unionByName(blank).select(known("doc_id").alias("doc_id"), "n_shingles", known("rep").alias("class_id"), known("label").alias("component_id"), "text_hash", "first")
+    labelled = rows.where("n_shingles > 0").join(by_set, "h").select("doc_id", "n_shingles", "rep", F.col("label")["rep"].alias("label"), *TEXT, first.alias("first"))
+    blank = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), F.col("doc_id").alias("label"), *TEXT, F.lit(True).alias("first"))
+    return labelled.unionByName(blank).select(known("doc_id").alias("doc_id"), "n_shingles", known("rep").alias("class_id"), known("label").alias("component_id"), *TEXT, "first")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

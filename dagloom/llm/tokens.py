@@ -1,12 +1,16 @@
 """Vectorised tokenising and hashing of UTF-8 text columns, without a Python loop over words.
 
-Texts of an Arrow batch lie in one buffer; words are found by a byte table, and hashed by prefix
-sums of a polynomial over random byte values modulo 2**64 (odd base, hence invertible), so the
-hash of any word or any window of words is one subtraction and one multiplication.
+Texts of an Arrow batch lie in one buffer; words are found by a byte table. A word's hash is the sum,
+modulo 2**64, of a pseudo-random value of each of its bytes at its place in the word, so that words
+which differ anywhere differ by a random number: two share it with probability 2**-64, whatever
+their lengths and pattern. Windows of words are hashed by prefix sums of a polynomial over word
+hashes modulo 2**64; its base is 3 modulo 8, so two differing windows of up to 16 words share a hash
+with probability 2**-59 at most.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +19,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 _SPAN = 1 << 17
-_BASE = 0x9E3779B97F4A7C15 | 1
-_WINDOW_BASE = 0xD1342543DE82EF95 | 1
+_WINDOW_BASE = 0xD1342543DE82EF93  # 3 modulo 8
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,12 +40,19 @@ def _tables(base: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(base, _SPAN + 1), _powers(pow(base, -1, 1 << 64), _SPAN + 1)
 
 
-_BYTE_POW, _BYTE_INV = _tables(_BASE)
 _WORD_POW, _WORD_INV = _tables(_WINDOW_BASE)
-_BYTE_VALUE = mix(np.arange(256, dtype=U64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SECOND_VALUE = mix(np.arange(256, 512, dtype=U64))
+#: places in a word whose byte values are looked up; values of later ones are computed
+_PLACES = 32
+
+
+def _place_values(place: np.ndarray, byte: np.ndarray, second: bool) -> np.ndarray:
+    """The pseudo-random value of a byte at a place of a word."""
+    return mix((place.astype(U64) << U64(9)) + byte.astype(U64) + U64(256 * second))
+
+
+_TABLES = [_place_values(np.repeat(np.arange(_PLACES), 256), np.tile(np.arange(256), _PLACES), second) for second in (False, True)]
 
 #: Words [^\x20\x09-\x0D]+
 NON_SPACE = np.ones(256, bool)
@@ -121,29 +131,34 @@ class Texts:
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, second: bool = False) -> np.ndarray:
     """64-bit hashes of the words buf[starts[i]:ends[i]]. `second` takes other byte values, for a
     hash that is independent of the first."""
-    value = _SECOND_VALUE if second else _BYTE_VALUE
-    value = value[_LOWER] if lower else value
+    table = _TABLES[second]
     out = np.empty(len(starts), U64)
     i = 0
     while i < len(starts):
         a = starts[i]
         j = int(np.searchsorted(ends, a + _SPAN, "right"))
         if j <= i:  # one word longer than a span
-            word = buf[a : ends[i]]
-            total, scale, step = U64(0), U64(1), U64(pow(_BASE, _SPAN, 1 << 64))
-            with np.errstate(over="ignore"):
-                for k in range(0, len(word), _SPAN):
-                    part = value[word[k : k + _SPAN]]
-                    total += scale * (part * _BYTE_POW[: len(part)]).sum(dtype=U64)
-                    scale *= step
-            out[i] = total
+            total = np.zeros(1, U64)
+            for k in range(int(a), int(ends[i]), _SPAN):
+                part = buf[k : min(k + _SPAN, int(ends[i]))]
+                total += _place_values(np.arange(k - a, k - a + len(part)), _LOWER[part] if lower else part, second).sum(dtype=U64)
+            out[i] = total[0]
             i += 1
             continue
-        seg = value[buf[a : ends[j - 1]]]
+        seg = buf[a : ends[j - 1]]
+        seg = _LOWER[seg] if lower else seg
+        s, e = starts[i:j] - a, ends[i:j] - a
+        place = np.arange(len(seg), dtype=np.int32) - np.repeat(s.astype(np.int32), np.diff(s, append=len(seg)))
+        far = np.flatnonzero(place >= _PLACES)
+        if len(far):
+            late = place[far]
+            place[far] = 0
+        values = table[(place << 8) | seg]
+        if len(far):
+            values[far] = _place_values(late, seg[far], second)
         sums = np.zeros(len(seg) + 1, U64)
-        np.cumsum(seg * _BYTE_POW[: len(seg)], out=sums[1:])
-        s = starts[i:j] - a
-        out[i:j] = (sums[ends[i:j] - a] - sums[s]) * _BYTE_INV[s]
+        np.cumsum(values, out=sums[1:])
+        out[i:j] = sums[e] - sums[s]
         i = j
     return mix(out)
 
@@ -194,6 +209,15 @@ def batches_of(it: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[tu
             yield batch.slice(i, j - i), texts.part(i, j)
 
 
+def free_memory() -> None:
+    """Give what a task has freed back to the system: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own house
+        pass
+
+
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     off = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=off[1:])

@@ -193,6 +193,19 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     return docs.select(*{c: 0 for c in [*kept, "text"]}).mapInArrow(run, schema)
 
 
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the documents that the model rejects, with all their own columns."""
+    verdict = "__toxicity_verdict"
+    schema = docs.withColumn(verdict, F.lit(True)).schema
+
+    def run(it):
+        for batch, texts in batches_of(it):
+            toxic = model.above(model.linear(texts))[:, 0] >= THRESHOLD
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(toxic)], names=[*batch.schema.names, verdict])
+
+    return docs.mapInArrow(run, schema).where(f"NOT {verdict}").drop(verdict)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return score(docs, fit(docs, labels), keep=["doc_id"])
