@@ -10,16 +10,16 @@ documents share, say next to nothing and are not sent by a set that has at most
 its L + 3 agreeing blocks are then heavier ones. Sets of so few shingles that most blocks would be
 empty send their first shingles in hash order instead, as many as a linked set must meet.
 
-Sets that share a key are candidates: of small groups the pairs that share three keys, of a large one
-a star around one member. Before any text moves, candidates are held against whole sketches of the
-sets (a few bits for each shingle that linked sets may differ in), whose Hamming distance is never
-above the difference; only pairs within the bound are verified, on the shingles themselves. Equal
-sets are collapsed first. What is linked so far makes components. Members of a star that are not
-linked to its centre are then held against the members of other components, sketch by sketch, in
-tiles of bounded numbers of members; of the pairs within the bound those closest to each component
-are verified first, and more of them, in growing portions, only while the components stay apart. So
-no group is gathered whole in one task, nor are its pairs emitted, and every link between different
-sets that joins two components is found.
+Sets that share a key are candidates: the pairs of a small group that share three keys, and of each
+set in large ones the pair with one centre. Before any text moves, candidates are held against whole
+sketches of the sets (a few bits for each shingle that linked sets may differ in), whose Hamming
+distance is never above the difference; only pairs within the bound are verified, on the shingles
+themselves. Equal sets are collapsed first. What is linked so far makes components. In large groups
+that hold several of them, the members that are not of the centre's are then held against all those
+of other components, sketch by sketch, in tiles of bounded numbers of members; of the pairs within
+the bound those closest to each component are verified first, and more of them, in growing portions,
+only while the components stay apart. So no group is gathered whole in one task, nor are its pairs
+emitted, and every link between different sets that joins two components is found.
 
 Defined results: a set without shingles (null, empty or blank text) links with nothing; a text of
 fewer words than a shingle is one shingle; a very long text has as many keys and sketch bits as its
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from dagloom.llm.blocks import NULL_ID, pack_keys, split, unpack_keys
 from dagloom.llm.tokens import U64, Texts, batches_of, fold, free_memory, list_array, mix, windows, word_hashes
-from dagloom.session import Scratch, cut
+from dagloom.session import Scratch, arrow_rows, cut
 
 #: bits of a sketch's block
 BLOCK_BITS = 16
@@ -51,7 +51,9 @@ CHUNK, TILE = 1024, 4096
 #: pairs that a member sends for each other component in the first round, and the growth by round
 PORTION, GROWTH = 16, 8
 #: sketch bits for each shingle in which linked sets may differ, and the least
-BITS_EACH, LEAST_BITS = 4, 64
+BITS_EACH, LEAST_BITS = 8, 64
+#: rows of an Arrow batch: with texts of a few KB these are a few MB
+BATCH = 2000
 #: texts to verify are picked by a broadcast of up to so many hashes (16 bytes each)
 BROADCAST_TEXTS = 1 << 20
 #: a key that so many sets of one batch hold goes to one of SPREAD buckets beside the others
@@ -286,43 +288,47 @@ def _key_rows(docs: DataFrame, n: int, bands: Bands, shingles: int) -> DataFrame
             on = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             on &= h != PROXY
             keys, h = keys[on], h[on]
+        free_memory()
         return pa.table({"key": pa.array(keys.view(np.int64)), "h": pa.array(h)})
 
     sent = docs.mapInArrow(run, "bucket int, n int, keys binary, own binary, sets binary")
     return sent.groupBy("bucket").applyInArrow(shared, "key long, h long")
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """(x, y, star): all pairs of small groups, stars of large ones. A star's centre x is the member
-    that shares the most keys: in a group of near copies that is one of the least edited, and the
+def _groups(rows: DataFrame) -> DataFrame:
+    """(key, h, k, x): how many sets hold the key, and its centre, as the struct (-keys, h): the member
+    that shares the most keys. In a group of near copies that is one of the least edited, and the
     same one for most of the group's keys."""
     degree = rows.groupBy("h").agg((-F.count(F.lit(1))).alias("d"))
     ranked = rows.join(degree, "h").select("key", "h", F.struct("d", "h").alias("rank"))
     # counts and centres are aggregated and joined back: no task holds a key's sets together
-    groups = ranked.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("rank")["h"].alias("x"))
-    sized = ranked.select("key", "h").join(groups, "key")
-    star = sized.where((F.col("k") > SMALL) & (F.col("x") != F.col("h"))).select("x", F.col("h").alias("y"), F.lit(True).alias("star"))
-    few = sized.where((F.col("k") <= SMALL) & (F.col("k") > 1)).groupBy("key").agg(F.sort_array(F.collect_set("h")).alias("m"))
+    groups = ranked.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("rank").alias("x")).where("k > 1")
+    return ranked.select("key", "h").join(groups, "key")
+
+
+def _candidates(sized: DataFrame) -> DataFrame:
+    """(x, y): the pairs of small groups, and of each set in large ones the first of its centres."""
+    star = sized.where(F.col("k") > SMALL).groupBy(F.col("h").alias("y")).agg(F.min("x")["h"].alias("x")).where("x <> y").select("x", "y")
+    few = sized.where(F.col("k") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("h")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, SMALL), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     each = few.select(F.explode(pairs).alias("p")).select("p.x", "p.y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     # linked sets that share fewer small groups than SUPPORT share a large one, and meet in its star
-    small = each.where(F.col("n") >= SUPPORT).select("x", "y", F.lit(False).alias("star"))
-    return star.unionByName(small).groupBy("x", "y").agg(F.max("star").alias("star"))
+    return star.unionByName(each.where(F.col("n") >= SUPPORT).select("x", "y")).distinct()
 
 
 def _near(edges: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
-    """(x, y, star, near): edges, and whether their sketches are within the bound of linked sets."""
+    """(x, y): the edges whose sketches are within the bound of linked sets."""
     x, y = (classes.select(F.col("h").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "xy")
 
     def run(it):
         for batch in it:
-            n_x, n_y = (batch.column(k).to_numpy() for k in (3, 4))
-            near = _apart(batch.column(5).to_pylist(), batch.column(6).to_pylist()) <= bands.most_apart(n_x, n_y)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(near)], names=["x", "y", "star", "near"])
+            n_x, n_y = (batch.column(k).to_numpy() for k in (2, 3))
+            near = pa.array(_apart(batch.column(4).to_pylist(), batch.column(5).to_pylist()) <= bands.most_apart(n_x, n_y))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(near) for k in range(2)], names=["x", "y"])
         free_memory()
 
-    both = edges.join(x, "x").join(y, "y").select("x", "y", "star", "n_x", "n_y", "s_x", "s_y")
-    return both.mapInArrow(run, "x long, y long, star boolean, near boolean")
+    both = edges.join(x, "x").join(y, "y").select("x", "y", "n_x", "n_y", "s_x", "s_y")
+    return both.mapInArrow(run, "x long, y long")
 
 
 def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -369,22 +375,26 @@ def _verify(edges: DataFrame, docs: DataFrame, classes: DataFrame, n: int, bands
     return named.select("x", "y", "z_x", "z_y").mapInArrow(run, "x long, y long, linked boolean")
 
 
-def _star_members(edges: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
-    """(c, m, loose, n, sketch) of the stars that have members not linked to their centre."""
-    linked = links.select(F.col("x").alias("c"), F.col("y").alias("m"), F.lit(True).alias("on"))
-    stars = edges.where("star").select(F.col("x").alias("c"), F.col("y").alias("m")).join(linked, ["c", "m"], "left").withColumn("loose", F.col("on").isNull())
-    some = stars.groupBy("c").agg(F.count_if("loose").alias("loose_n"), F.count(F.lit(1)).alias("members_n")).where("loose_n > 0 AND members_n > 1")
+def _star_members(sized: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """(c, m, label, loose, loose_n, members_n, n, sketch) of the large groups that hold sets of
+    several components, by centre c; loose: m is of another component than c."""
+    named = sized.where(F.col("k") > SMALL).select("key", "h", F.col("x")["h"].alias("c")).join(labels.select("h", "label"), "h", "left").withColumn("label", F.coalesce("label", "h"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    stars = named.join(mixed, "key").groupBy("c", F.col("h").alias("m")).agg(F.first("label").alias("label"))
+    centre = labels.select(F.col("h").alias("c"), F.col("label").alias("of"))
+    stars = stars.join(centre, "c", "left").withColumn("loose", F.col("label") != F.coalesce("of", "c"))
+    some = stars.groupBy("c").agg(F.count_if("loose").alias("loose_n"), F.count(F.lit(1)).alias("members_n"))
     sets = classes.select(F.col("h").alias("m"), "n", "sketch")
-    return stars.join(some, "c").join(sets, "m").select("c", "m", "loose", "loose_n", "members_n", "n", "sketch")
+    return stars.join(some, "c").join(sets, "m").select("c", "m", "label", "loose", "loose_n", "members_n", "n", "sketch")
 
 
-def _inside_stars(members: DataFrame, labels: DataFrame, start: DataFrame, bands: Bands, low: int, high: int) -> DataFrame:
-    """(x, y, rank): pairs of members of one star, x not linked to its centre, in different
-    components, whose sketches are within the bound. Of a member's pairs with each component of
-    `start` those that rank from `low` to `high` by distance are returned; one of rank `high`
-    says that there are more. Labels are (h, label)."""
-    named = members.join(start.select(F.col("h").alias("m"), F.col("label").alias("was")), "m", "left").join(labels.select(F.col("h").alias("m"), "label"), "m", "left")
-    named = named.select("c", "m", "loose", "n", "sketch", F.coalesce("was", "m").alias("was"), F.coalesce("label", "m").alias("label"), F.ceil(F.col("loose_n") / CHUNK).cast("int").alias("rows"), F.ceil(F.col("members_n") / TILE).cast("int").alias("columns"))
+def _inside_stars(members: DataFrame, labels: DataFrame, bands: Bands, low: int, high: int) -> DataFrame:
+    """(x, y, rank): pairs of members of one star, x loose, which `labels` (h, label) says are of
+    different components, and whose sketches are within the bound. Of a loose member's pairs with each
+    component of the first round those that rank from `low` to `high` by distance are returned; one
+    of rank `high` says that there are more."""
+    named = members.withColumnRenamed("label", "was").join(labels.select(F.col("h").alias("m"), "label"), "m", "left")
+    named = named.select("c", "m", "loose", "n", "sketch", "was", F.coalesce("label", "m").alias("label"), F.ceil(F.col("loose_n") / CHUNK).cast("int").alias("rows"), F.ceil(F.col("members_n") / TILE).cast("int").alias("columns"))
     place = F.xxhash64("m")
     left = named.where("loose").withColumns({"i": F.pmod(place, "rows").cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("columns") - 1)), "left": F.lit(True)})
     right = named.withColumns({"j": F.pmod(place, "columns").cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("rows") - 1)), "left": F.lit(False)})
@@ -399,7 +409,7 @@ def _inside_stars(members: DataFrame, labels: DataFrame, start: DataFrame, bands
                 xs, ys = np.flatnonzero(is_left & (width == a)), np.flatnonzero(~is_left & (width == b))
                 one, two = (fold_sketches([sketch[i] for i in side.tolist()], min(a, b)) for side in (xs, ys))
                 for x, own in zip(xs.tolist(), one, strict=True):
-                    ok = (label[ys] != label[x]) & (~loose[ys] | (m[ys] > m[x])) & (bands.q * np.minimum(n[ys], n[x]) >= bands.p * np.maximum(n[ys], n[x]))
+                    ok = (was[ys] != was[x]) & (~loose[ys] | (m[ys] > m[x])) & (bands.q * np.minimum(n[ys], n[x]) >= bands.p * np.maximum(n[ys], n[x]))
                     at = np.flatnonzero(ok)
                     apart = np.bitwise_count(two[at] ^ own).sum(1, dtype=np.int64)
                     near = apart <= bands.most_apart(n[ys[at]], n[x])
@@ -410,7 +420,8 @@ def _inside_stars(members: DataFrame, labels: DataFrame, start: DataFrame, bands
         x, y = x[order], y[order]
         new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (was[y[1:]] != was[y[:-1]])])) if len(x) else np.empty(0, np.int64)
         rank = np.arange(len(x)) - np.repeat(new, np.diff(np.concatenate([new, [len(x)]])))
-        on = (rank >= low) & (rank <= high)
+        on = (rank >= low) & (rank <= high) & (label[x] != label[y])
+        free_memory()
         return pa.table({"x": pa.array(m[x[on]], pa.int64()), "y": pa.array(m[y[on]], pa.int64()), "rank": pa.array(rank[on], pa.int64())})
 
     return left.unionByName(right).groupBy("c", "i", "j").applyInArrow(run, "x long, y long, rank long")
@@ -447,13 +458,14 @@ def _labels(links: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int, bands: Bands, scratch: Scratch) -> DataFrame:
     """Labels of all sets that are linked with any."""
-    edges = scratch.keep(_near(_candidates(keys), classes, bands))
-    links = scratch.keep(_verify(edges.where("near"), docs, classes, n, bands).where("linked").select("x", "y"))
-    start = labels = scratch.keep(_labels(links, classes))
-    members = scratch.keep(_star_members(edges, links, classes))
+    sized = scratch.keep(_groups(keys))
+    near = scratch.keep(_near(_candidates(sized), classes, bands))
+    links = scratch.keep(_verify(near, docs, classes, n, bands).where("linked").select("x", "y"))
+    labels = scratch.keep(_labels(links, classes))
+    members = scratch.keep(_star_members(sized, labels, classes))
     low, high = 0, PORTION
     while not members.isEmpty():
-        pairs = scratch.keep(_inside_stars(members, labels, start, bands, low, high))
+        pairs = scratch.keep(_inside_stars(members, labels, bands, low, high))
         new = pairs.where(F.col("rank") < high).select("x", "y").distinct()
         if new.isEmpty():
             break
@@ -473,10 +485,11 @@ def near_duplicates(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> D
     Jaccard p/q or more; t1, t2: hashes of the text; first: the row is of that doc_id and of the
     component's smallest set with it, or has no shingles."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(_classes(docs, n, Bands(p, q)))
+    with arrow_rows(docs.sparkSession, BATCH):
+        rows = cut(_classes(docs, n, Bands(p, q)))
     sets = rows.where("n_shingles > 0").groupBy("h").agg(F.min(F.struct("doc_id", *TEXT)).alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     count, shingles = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    with Scratch(docs.sparkSession) as scratch:
+    with arrow_rows(docs.sparkSession, BATCH), Scratch(docs.sparkSession) as scratch:
         classes = scratch.keep(sets)
         bands = Bands(p, q, common_shingles(docs, n, count))
         keys = scratch.keep(_key_rows(docs, n, bands, shingles))
