@@ -90,10 +90,22 @@ class Definition:
             raise CycleError(f"self loop: {src}")
         if any(e[:2] == (src, dst) for e in self.edges):
             return self
-        if src in self.descendants_of(dst):
+        if self._reaches(dst, src):
             raise CycleError(f"edge {src} -> {dst} closes a cycle")
         return replace(self, edges=(*self.edges, (src, dst, metadata)))
 
+    def _reaches(self, src: str, dst: str) -> bool:
+        after: dict[str, list[str]] = {}
+        for a, b, _ in self.edges:
+            after.setdefault(a, []).append(b)
+        seen, front = {src}, [src]
+        while front:
+            for b in after.get(front.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    front.append(b)
+        return dst in seen
+
     def with_revision(self, revision: int) -> Definition:
         return replace(self, revision=V.positive_int(revision, "revision"))
 
@@ -110,7 +122,7 @@ class Definition:
     def _local(self) -> _Local:
         nodes = pd.DataFrame({"node_id": self.node_ids, "ord": range(len(self.nodes))})
         weights = [e[2].get("weight", 1) for e in self.edges]
-        return _Local(nodes, pd.DataFrame({"src": [e[0] for e in self.edges], "dst": [e[1] for e in self.edges], "weight": pd.Series(weights, dtype="int64")}))
+        return _Local(nodes, pd.DataFrame({"src": [e[0] for e in self.edges], "dst": [e[1] for e in self.edges], "weight": pd.Series(weights, dtype="float64")}))
 
     def predecessors(self) -> dict[str, list[str]]:
         """Direct predecessors of every node, sorted."""
@@ -153,7 +165,7 @@ class Definition:
         return hashlib.sha256(V.dump(self.to_dict()).encode()).hexdigest()
 
     def graph(self, spark: SparkSession, graph_id: str = "g") -> Graph:
-        return Graph.literal(spark, self.node_ids, [(a, b, int(m.get("weight", 1))) for a, b, m in self.edges], graph_id)
+        return Graph.literal(spark, self.node_ids, [(a, b, m.get("weight", 1)) for a, b, m in self.edges], graph_id)
 
 
 @dataclass(frozen=True)

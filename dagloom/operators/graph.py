@@ -6,11 +6,13 @@ in one pair; every operator works on all of them at once. `ord` is insertion ord
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 from pyspark.sql.window import Window
 
 
@@ -50,7 +52,7 @@ def _complete_edges(edges: DataFrame) -> DataFrame:
         F.col("graph_id") if "graph_id" in has else F.lit("g").alias("graph_id"),
         F.col("src").cast("string").alias("src"),
         F.col("dst").cast("string").alias("dst"),
-        (F.coalesce(F.col("weight").cast("long"), F.lit(1)) if "weight" in has else F.lit(1).cast("long")).alias("weight"),
+        _weight(edges).alias("weight"),
         (F.col("metadata") if "metadata" in has else F.lit(None).cast("string")).alias("metadata"),
         (F.col("ord").cast("long") if "ord" in has else F.lit(0).cast("long")).alias("ord"),
     )
@@ -59,7 +61,17 @@ def _complete_edges(edges: DataFrame) -> DataFrame:
 def weight_of(metadata: Column) -> Column:
     """The weight in JSON metadata, else 1; a weight that is no number is an error, not a 1."""
     raw = F.get_json_object(metadata, "$.weight")
-    return F.when(raw.isNull(), F.lit(1)).when(raw.try_cast("double").isNull(), F.raise_error(F.concat(F.lit("weight is not a number: "), raw))).otherwise(raw.cast("long"))
+    number = raw.try_cast("double")
+    return F.when(raw.isNull(), F.lit(1.0)).when(number.isNull(), F.raise_error(F.concat(F.lit("weight is not a number: "), raw))).otherwise(number)
+
+
+def _weight(edges: DataFrame) -> Column:
+    """An integer weight column stays one, any other number is a double; without the column the
+    weight is that of the metadata."""
+    if "weight" not in edges.columns:
+        return weight_of(F.col("metadata")) if "metadata" in edges.columns else F.lit(1).cast("long")
+    kind = "long" if isinstance(edges.schema["weight"].dataType, IntegralType | NullType) else "double"
+    return F.coalesce(F.col("weight").cast(kind), F.lit(1).cast(kind))
 
 
 @dataclass(frozen=True)
@@ -84,20 +96,39 @@ class Graph:
     @classmethod
     def literal(cls, spark: SparkSession, nodes: Sequence[str], edges: Sequence[tuple], graph_id: str = "g") -> Graph:
         """From Python values: edges are (src, dst) or (src, dst, weight)."""
+        kind = "long" if all(isinstance(x[2], int) for x in edges if len(x) > 2) else "double"
+        one = 1 if kind == "long" else 1.0
         n = spark.createDataFrame([(graph_id, x, i) for i, x in enumerate(nodes)], "graph_id string, node_id string, ord long")
-        e = spark.createDataFrame([(graph_id, x[0], x[1], x[2] if len(x) > 2 else 1, None, i) for i, x in enumerate(edges)], "graph_id string, src string, dst string, weight long, metadata string, ord long")
+        e = spark.createDataFrame([(graph_id, x[0], x[1], x[2] * one if len(x) > 2 else one, None, i) for i, x in enumerate(edges)], f"graph_id string, src string, dst string, weight {kind}, metadata string, ord long")
         return cls(n, e)
 
     # membership and one hop
 
-    def has_node(self, node_id: str) -> bool:
-        return not self.nodes.where(F.col("node_id") == node_id).isEmpty()
+    def only(self, graph_id: str | None) -> Graph:
+        """One graph of many; None: all of them."""
+        if graph_id is None:
+            return self
+        return Graph(self.nodes.where(F.col("graph_id") == graph_id), self.edges.where(F.col("graph_id") == graph_id))
+
+    def has_node(self, node_id: str, graph_id: str | None = None) -> bool:
+        return not self.only(graph_id).nodes.where(F.col("node_id") == node_id).isEmpty()
+
+    def has_edge(self, src: str, dst: str, graph_id: str | None = None) -> bool:
+        return not self.only(graph_id).edges.where((F.col("src") == src) & (F.col("dst") == dst)).isEmpty()
+
+    def known_nodes(self, asked: DataFrame) -> DataFrame:
+        """asked (graph_id, node_id) with `known`."""
+        mine = self.nodes.select("graph_id", "node_id").distinct().withColumn("known", F.lit(True))
+        return asked.join(mine, ["graph_id", "node_id"], "left").na.fill(False, ["known"])
 
-    def has_edge(self, src: str, dst: str) -> bool:
-        return not self.edges.where((F.col("src") == src) & (F.col("dst") == dst)).isEmpty()
+    def known_edges(self, asked: DataFrame) -> DataFrame:
+        """asked (graph_id, src, dst) with `known`."""
+        mine = self.edges.select("graph_id", "src", "dst").distinct().withColumn("known", F.lit(True))
+        return asked.join(mine, ["graph_id", "src", "dst"], "left").na.fill(False, ["known"])
 
-    def require(self, *node_ids: str) -> None:
-        known = {r.node_id for r in self.nodes.where(F.col("node_id").isin(*node_ids)).select("node_id").collect()}
+    def require(self, *node_ids: str, graph_id: str | None = None) -> None:
+        """Every name is a node of the graph; of some graph, if none is named."""
+        known = {r.node_id for r in self.only(graph_id).nodes.where(F.col("node_id").isin(*node_ids)).select("node_id").distinct().collect()}
         missing = [x for x in node_ids if x not in known]
         if missing:
             raise UnknownNodeError(f"unknown node: {missing[0]}")
@@ -112,7 +143,7 @@ class Graph:
         return self.edges.where(F.col("dst") == node_id)
 
     def edge_metadata(self, src: str, dst: str) -> DataFrame:
-        return self.edges.where((F.col("src") == src) & (F.col("dst") == dst)).select(F.coalesce("metadata", F.lit("{}")).alias("metadata"))
+        return self.edges.where((F.col("src") == src) & (F.col("dst") == dst)).select("graph_id", F.coalesce("metadata", F.lit("{}")).alias("metadata"))
 
     def each_node(self) -> DataFrame:
         return self.nodes.orderBy("graph_id", "ord")
@@ -152,60 +183,79 @@ class Graph:
         if not isinstance(names, DataFrame):
             self.require(*names)
             return Graph(self.nodes.where(F.col("node_id").isin(*names)), self.edges.where(F.col("src").isin(*names) & F.col("dst").isin(*names)))
-        names = names.select("node_id").distinct()
-        kept = self.edges.join(names.withColumnRenamed("node_id", "src"), "src", "left_semi").join(names.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
-        return Graph(self.nodes.join(names, "node_id", "left_semi"), kept.select(*self.edges.columns))
+        keys = ["graph_id", "node_id"] if "graph_id" in names.columns else ["node_id"]
+        names = names.select(*keys).distinct()
+        unknown = names.join(self.nodes, keys, "left_anti").limit(1).collect()
+        if unknown:
+            raise UnknownNodeError(f"unknown node: {unknown[0].node_id}")
+        kept = self.edges
+        for end in ("src", "dst"):
+            kept = kept.join(names.withColumnRenamed("node_id", end), [*keys[:-1], end], "left_semi")
+        return Graph(self.nodes.join(names, keys, "left_semi"), kept.select(*self.edges.columns))
 
     # changes: each returns a new graph
 
     def with_node(self, node_id: str, graph_id: str = "g") -> Graph:
-        if self.has_node(node_id):
+        if self.has_node(node_id, graph_id):
             raise DuplicateNodeError(f"duplicate node: {node_id}")
-        row = self._next_ord(self.nodes).select(F.lit(graph_id).alias("graph_id"), F.lit(node_id).alias("node_id"), "ord")
+        row = self._next_ord(self.only(graph_id).nodes).select(F.lit(graph_id).alias("graph_id"), F.lit(node_id).alias("node_id"), "ord")
         return Graph(self.nodes.unionByName(row), self.edges)
 
     @staticmethod
     def _next_ord(rows: DataFrame) -> DataFrame:
         return rows.agg((F.coalesce(F.max("ord"), F.lit(-1)) + 1).alias("ord"))
 
-    def with_edge(self, src: str, dst: str, weight: int = 1, metadata: str | None = None, graph_id: str = "g") -> Graph:
-        """Checks in order: known ends, self-loop, an existing edge (kept as it is), a cycle."""
+    def with_edge(self, src: str, dst: str, weight: float | None = None, metadata: str | None = None, graph_id: str = "g") -> Graph:
+        """Checks in order: known ends, self-loop, an existing edge (kept as it is), a cycle. The
+        weight is the one given, else that of the metadata, else 1."""
         from dagloom.operators.paths import path_exists
 
-        self.require(src, dst)
+        self.require(src, dst, graph_id=graph_id)
         if src == dst:
             raise CycleError(f"self loop: {src}")
-        if self.has_edge(src, dst):
+        if self.has_edge(src, dst, graph_id):
             return self
-        if path_exists(self, dst, src):
+        if path_exists(self.only(graph_id), dst, src):
             raise CycleError(f"edge {src} -> {dst} closes a cycle")
-        row = self._next_ord(self.edges).select(
-            F.lit(graph_id).alias("graph_id"), F.lit(src).alias("src"), F.lit(dst).alias("dst"), F.lit(weight).cast("long").alias("weight"), F.lit(metadata).cast("string").alias("metadata"), "ord"
+        given = json.loads(metadata) if metadata is not None else {}
+        weight = given.get("weight", 1) if weight is None else weight
+        if isinstance(weight, bool) or not isinstance(weight, (int, float)):
+            raise GraphError(f"weight is not a number: {weight!r}")
+        whole = isinstance(self.edges.schema["weight"].dataType, IntegralType) and isinstance(weight, int)
+        kind = "long" if whole else "double"
+        row = self._next_ord(self.only(graph_id).edges).select(
+            F.lit(graph_id).alias("graph_id"), F.lit(src).alias("src"), F.lit(dst).alias("dst"), F.lit(weight).cast(kind).alias("weight"), F.lit(metadata).cast("string").alias("metadata"), "ord"
         )
-        return Graph(self.nodes, self.edges.unionByName(row))
+        return Graph(self.nodes, self.edges.withColumn("weight", F.col("weight").cast(kind)).unionByName(row))
 
-    def without_node(self, node_id: str) -> Graph:
-        self.require(node_id)
-        return Graph(self.nodes.where(F.col("node_id") != node_id), self.edges.where((F.col("src") != node_id) & (F.col("dst") != node_id)))
+    def without_node(self, node_id: str, graph_id: str | None = None) -> Graph:
+        """Of the named graph, or of every graph that has the node."""
+        self.require(node_id, graph_id=graph_id)
+        other = F.lit(False) if graph_id is None else F.col("graph_id") != graph_id
+        return Graph(self.nodes.where(other | (F.col("node_id") != node_id)), self.edges.where(other | ((F.col("src") != node_id) & (F.col("dst") != node_id))))
 
-    def without_edge(self, src: str, dst: str) -> Graph:
-        if not self.has_edge(src, dst):
+    def without_edge(self, src: str, dst: str, graph_id: str | None = None) -> Graph:
+        if not self.has_edge(src, dst, graph_id):
             raise GraphError(f"unknown edge: {src} -> {dst}")
-        return Graph(self.nodes, self.edges.where(~((F.col("src") == src) & (F.col("dst") == dst))))
+        other = F.lit(False) if graph_id is None else F.col("graph_id") != graph_id
+        return Graph(self.nodes, self.edges.where(other | ~((F.col("src") == src) & (F.col("dst") == dst))))
 
-    def with_node_replaced(self, old: str, new: str) -> Graph:
-        """Rename, keeping edges and metadata; the new node goes last in insertion order."""
-        self.require(old)
+    def with_node_replaced(self, old: str, new: str, graph_id: str | None = None) -> Graph:
+        """Rename, keeping edges and metadata; the new node goes last in insertion order. Of the
+        named graph, or of every graph that has the node."""
+        self.require(old, graph_id=graph_id)
         if old == new:
             return self
-        if self.has_node(new):
+        holders = self.only(graph_id).nodes.where(F.col("node_id") == old).select("graph_id")
+        if not self.only(graph_id).nodes.where(F.col("node_id") == new).join(holders, "graph_id", "left_semi").isEmpty():
             raise DuplicateNodeError(f"duplicate node: {new}")
+        mine = F.lit(True) if graph_id is None else F.col("graph_id") == graph_id
 
         def named(c: str) -> Column:
-            return F.when(F.col(c) == old, F.lit(new)).otherwise(F.col(c)).alias(c)
+            return F.when(mine & (F.col(c) == old), F.lit(new)).otherwise(F.col(c)).alias(c)
 
-        last = self.nodes.agg(F.max("ord")).first()[0] + 1
-        nodes = self.nodes.select("graph_id", named("node_id"), F.when(F.col("node_id") == old, F.lit(last)).otherwise(F.col("ord")).alias("ord"))
+        last = self.nodes.groupBy("graph_id").agg((F.max("ord") + 1).alias("__last"))
+        nodes = self.nodes.join(last, "graph_id").select("graph_id", named("node_id"), F.when(mine & (F.col("node_id") == old), F.col("__last")).otherwise(F.col("ord")).alias("ord"))
         return Graph(nodes, self.edges.select("graph_id", named("src"), named("dst"), "weight", "metadata", "ord"))
 
     def frozen(self) -> Graph:

@@ -45,7 +45,7 @@ class _Local:
         src = edges["src"].map(self.index).to_numpy(np.int64)
         dst = edges["dst"].map(self.index).to_numpy(np.int64)
         order = np.argsort(src, kind="stable")
-        self.dst, self.weight = dst[order], edges["weight"].to_numpy(np.int64)[order]
+        self.dst, self.weight = dst[order], edges["weight"].to_numpy()[order]
         self.off = np.searchsorted(src[order], np.arange(n + 1))
         back = np.argsort(dst, kind="stable")
         self.src_of, self.back_off = src[back], np.searchsorted(dst[back], np.arange(n + 1))
@@ -217,7 +217,7 @@ def descendants_of(graph: Graph, node_id: str, include_self: bool = True) -> Dat
     return descendants(graph, node_id, include_self)
 
 
-def _split_descendants(graph: Graph, node_id: str, strategy: str | None) -> DataFrame:
+def split_descendants(graph: Graph, node_id: str, strategy: str | None = None) -> DataFrame:
     """(graph_id, node_id, shared): descendants of a node, itself included, and whether another
     root reaches them when the node is closed."""
     if (strategy or ("group" if fits_group(graph) else "loop")) == "group":
@@ -236,12 +236,14 @@ def _split_descendants(graph: Graph, node_id: str, strategy: str | None) -> Data
 
 
 def exclusive_descendants(graph: Graph, node_id: str, include_self: bool = True, strategy: str | None = None) -> DataFrame:
-    found = _split_descendants(graph, node_id, strategy).where("NOT shared").select("graph_id", "node_id")
+    graph.require(node_id)
+    found = split_descendants(graph, node_id, strategy).where("NOT shared").select("graph_id", "node_id")
     return found if include_self else found.where(F.col("node_id") != node_id)
 
 
 def shared_descendants(graph: Graph, node_id: str, strategy: str | None = None) -> DataFrame:
-    return _split_descendants(graph, node_id, strategy).where("shared").select("graph_id", "node_id")
+    graph.require(node_id)
+    return split_descendants(graph, node_id, strategy).where("shared").select("graph_id", "node_id")
 
 
 def path_exists(graph: Graph, src: str, dst: str) -> bool:
@@ -251,12 +253,18 @@ def path_exists(graph: Graph, src: str, dst: str) -> bool:
 
 # weighted paths
 
-PATH = "graph_id string, pos long, node_id string, cost long"
+
+
+def _path_schema(graph: Graph) -> str:
+    """PATH rows: costs are of the weights' type."""
+    return f"graph_id string, pos long, node_id string, cost {graph.edges.schema['weight'].dataType.simpleString()}"
 
 
 def _path(graph: Graph, src: str | None, dst: str | None, longest: bool) -> DataFrame:
     """PATH rows, one for each node of each graph's best path; none where there is no path. src
     None: from all roots; dst None: to the best leaf."""
+    kind = graph.edges.schema["weight"].dataType.simpleString()
+    whole = np.float64 if kind == "double" else np.int64
     if fits_group(graph):
 
         def solve(g: _Local) -> pd.DataFrame:
@@ -273,9 +281,9 @@ def _path(graph: Graph, src: str | None, dst: str | None, longest: bool) -> Data
                 if np.isnan(cost[end]):
                     return empty
             path = g.path(before, end)
-            return pd.DataFrame({"pos": np.arange(len(path)), "node_id": g.names[path], "cost": cost[path].astype(np.int64)})
+            return pd.DataFrame({"pos": np.arange(len(path)), "node_id": g.names[path], "cost": cost[path].astype(whole) if len(path) else []})
 
-        return _per_graph(graph, solve, PATH)
+        return _per_graph(graph, solve, _path_schema(graph))
     costs = relax_loop(graph, src, longest)
     ends = costs.join(graph.nodes, ["graph_id", "node_id"])
     ends = ends.join(graph.leaves().select("graph_id", "node_id"), ["graph_id", "node_id"], "left_semi") if dst is None else ends.where(F.col("node_id") == dst)
@@ -296,7 +304,7 @@ def relax_loop(graph: Graph, src: str | None, longest: bool) -> DataFrame:
     edges = graph.edges.join(order.select("graph_id", F.col("node_id").alias("src"), F.col("pos").alias("rank")), ["graph_id", "src"])
     edges = cut(edges.join(order.select("graph_id", F.col("node_id").alias("dst"), "layer"), ["graph_id", "dst"]).select("graph_id", "src", "dst", "weight", "rank", "layer"))
     starts = graph.roots() if src is None else graph.nodes.where(F.col("node_id") == src)
-    costs = cut(starts.select("graph_id", "node_id", F.lit(0).cast("long").alias("cost"), F.lit(None).cast("string").alias("before")))
+    costs = cut(starts.select("graph_id", "node_id", F.lit(0).cast(graph.edges.schema["weight"].dataType).alias("cost"), F.lit(None).cast("string").alias("before")))
     deepest = order.agg(F.max("layer")).first()[0] or 0
     sign = F.lit(1 if longest else -1)
     for depth in range(1, deepest + 1):

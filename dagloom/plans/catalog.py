@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from dagloom.fixtures import duck, relation
 from dagloom.functions import values as V
@@ -465,17 +464,17 @@ def per_graph_critical_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_reach(f"SELECT '{NODE}'", PD)} SELECT node_id FROM r")
 def plan_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.plan_invalidate(part_graph(spark, sf_dir), NODE).invalidated
+    return M.plan_invalidate(part_graph(spark, sf_dir), NODE).invalidated.select("node_id")
 
 
 @query(f"{_BOTH} SELECT node_id FROM r WHERE node_id NOT IN (SELECT node_id FROM o)")
 def plan_replace_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.removed_by(part_graph(spark, sf_dir, "part_dag_mr"), MR_NODE)
+    return M.removed_by(part_graph(spark, sf_dir, "part_dag_mr"), MR_NODE).select("node_id")
 
 
 @query(f"{_BOTH} SELECT node_id FROM r WHERE node_id IN (SELECT node_id FROM o)")
 def plan_replace_impacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.impacted_by(part_graph(spark, sf_dir, "part_dag_mr"), MR_NODE)
+    return M.impacted_by(part_graph(spark, sf_dir, "part_dag_mr"), MR_NODE).select("node_id")
 
 
 def _replacement(spark: SparkSession) -> M.Replacement:
@@ -562,7 +561,3 @@ def build_first_edge_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = edges.withColumn("ord", F.col("weight")).unionByName(edges.withColumn("weight", F.col("weight") + 1).withColumn("ord", F.col("weight")))
     return Graph.of(relation(spark, sf_dir, "part_nodes"), twice).edges.select("src", "dst")
 
-
-def rows_in_order(df: DataFrame, *keys: str) -> DataFrame:
-    """A dense sequence in the order of keys, for callers that page through a result."""
-    return df.withColumn("row", F.row_number().over(Window.orderBy(*keys)))

@@ -37,7 +37,7 @@ TABLES = {
     "workflows": "id string, state string, current_revision long, workflow_retry_count long, initial_context string, runtime_profile string",
     "revisions": "workflow_id string, revision long, definition string, fingerprint string",
     "nodes": "workflow_id string, revision long, node_id string, ord long, step_type string, config string",
-    "edges": "graph_id string, src string, dst string, weight long, metadata string, ord long",
+    "edges": "graph_id string, src string, dst string, weight double, metadata string, ord long",
     "node_states": "workflow_id string, revision long, node_id string, state string",
     "attempts": f"attempt_id string, workflow_id string, revision long, node_id string, attempt_number long, attempt_seq long, state string, result {RESULT}",
     "effects": (

@@ -148,3 +148,36 @@ def test_cycles(spark, monkeypatch):
     assert names(P.cyclic_nodes(g)) == {"b", "c", "d"}
     with pytest.raises(CycleError):
         P.layers(g)
+
+
+def test_each_graph_is_changed_within_itself(spark):
+    """Two graphs that share node names: A (r-t-c) and B (the same plus r-c)."""
+    nodes = spark.createDataFrame([(g, n, i) for g in "AB" for i, n in enumerate("rtc")], "graph_id string, node_id string, ord long")
+    edges = spark.createDataFrame([("A", "r", "t", 0), ("A", "t", "c", 1), ("B", "r", "t", 0), ("B", "t", "c", 1), ("B", "r", "c", 2)], "graph_id string, src string, dst string, ord long")
+    g = Graph.of(nodes, edges)
+    pairs = lambda df, *c: {tuple(r) for r in df.select(*c).collect()}
+    assert pairs(M.impacted_by(g, "t"), "graph_id", "node_id") == {("B", "c")}
+    assert pairs(M.removed_by(g, "t"), "graph_id", "node_id") == {("A", "t"), ("A", "c"), ("B", "t")}
+    plan = M.plan(g, "replace_subtree", "t", M.Replacement(Graph.literal(spark, ["n"], []), ("n",), ("n",)))
+    assert pairs(plan.graph.edges, "graph_id", "src", "dst") == {("A", "r", "n"), ("B", "r", "n"), ("B", "n", "c"), ("B", "r", "c")}
+    assert pairs(plan.graph.nodes, "graph_id", "node_id") == {("A", "r"), ("A", "n"), ("B", "r"), ("B", "n"), ("B", "c")}
+    assert g.with_node("r", "C").has_node("r", "C") and not g.has_edge("r", "c", "A") and g.has_edge("r", "c", "B")
+    assert pairs(g.with_edge("r", "c", graph_id="A").edges, "graph_id", "src", "dst") == pairs(edges, "graph_id", "src", "dst") | {("A", "r", "c")}
+    assert pairs(g.without_node("c", "A").nodes, "graph_id", "node_id") == pairs(nodes, "graph_id", "node_id") - {("A", "c")}
+    assert pairs(g.with_node_replaced("t", "z", "B").edges, "graph_id", "src", "dst") == {("A", "r", "t"), ("A", "t", "c"), ("B", "r", "z"), ("B", "z", "c"), ("B", "r", "c")}
+    with pytest.raises(UnknownNodeError):
+        g.subgraph(spark.createDataFrame([("A", "q")], "graph_id string, node_id string"))
+    with pytest.raises(UnknownNodeError):
+        P.exclusive_descendants(g, "q")
+
+
+def test_weights_may_be_fractions(spark, monkeypatch):
+    g = Graph.literal(spark, ["a", "b", "c"], [("a", "b", 0.5), ("b", "c", 0.25), ("a", "c", 1)])
+    got = lambda: [tuple(r) for r in P.path_summary(P.shortest_path(g, "a", "c")).collect()]
+    assert got() == [("g", 0.75, "a>b>c")]
+    monkeypatch.setattr(P, "fits_group", lambda *_: False)
+    assert got() == [("g", 0.75, "a>b>c")]
+    monkeypatch.undo()
+    from_metadata = Graph.of(spark.createDataFrame([("a",), ("b",)], "node_id string"), spark.createDataFrame([("a", "b", '{"weight": 4.5}')], "src string, dst string, metadata string"))
+    assert P.critical_path(from_metadata).orderBy("pos").collect()[-1].cost == 4.5
+    assert g.with_node("d").with_edge("c", "d", metadata='{"weight": 2.5}').edges.where("dst = 'd'").first().weight == 2.5
