@@ -28,7 +28,17 @@ SELECT CAST(src AS STRING) AS src, CAST(dst AS STRING) AS dst, MIN(w) AS weight
   UNION ALL SELECT CAST(p_partkey AS BIGINT), CAST(3*p_partkey+p_size AS BIGINT), CAST(p_size % 7 + 1 AS BIGINT) FROM {part}) r
 WHERE dst > src AND dst IN (SELECT p_partkey FROM {part}) GROUP BY src, dst
 """
+_WORKFLOWS = """
+SELECT concat('wf-', CAST(o_orderkey AS STRING)) AS id, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'failed' ELSE 'paused' END AS state,
+       CAST(1 + o_orderkey % 3 AS BIGINT) AS current_revision, CAST(o_orderkey % 4 AS BIGINT) AS workflow_retry_count, CAST(2 AS BIGINT) AS max_workflow_retries
+FROM {orders}
+"""
 RELATIONS = {
+    "workflows": _WORKFLOWS,
+    "revisions": f"""
+SELECT w.id AS workflow_id, CAST(x.k AS BIGINT) AS revision, concat('d', CAST(x.k AS STRING)) AS definition
+FROM ({_WORKFLOWS}) w JOIN (VALUES (1), (2), (3)) AS x(k) ON x.k <= w.current_revision
+""",
     "ev_log": """
 SELECT concat('wf-', CAST(user_id AS STRING)) AS workflow_id,
        CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq,
