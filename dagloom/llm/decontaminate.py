@@ -9,9 +9,10 @@ match of k words consists of seeds. An item whose words are covered by tiles to
 
 Words are runs of letters and digits with A-Z lower-cased, so case and punctuation do not matter.
 
-Defined results: null or empty texts and items of fewer than k words share nothing; rows that
-share a doc_id (or item_id) are compared each by its own text, equal rows once; extra columns are
-ignored. Seeds are 64-bit hashes.
+Defined results: null or empty texts and items of fewer than k words share nothing; very long texts
+are searched whole; of matches that tie in length the one first in the item, then in the document, is
+marked first; rows that share a doc_id (or item_id) are compared each by its own text, equal rows
+once; extra columns are ignored. Seeds are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,28 +24,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagloom.llm.tokens import ALNUM, batches_of, list_array, windows, word_hashes
+from dagloom.llm.tokens import ALNUM, U64, batches_of, free_memory, list_array, windows, word_hashes
 
 K = 4
 COVERAGE = 0.5
-#: seeds of the benchmark are broadcast up to this number, else both sides are shuffled
+#: seeds of the benchmark are broadcast up to this number, and other shingles of documents never become
+#: rows; beyond it both sides are shuffled
 BROADCAST_SEEDS = 200_000
 
 
-def _seeds(rows: DataFrame, k: int) -> DataFrame:
-    """(id, text_hash, n_words, at, seed): all k-word shingles of all rows, one a row."""
+def _seeds(rows: DataFrame, k: int, only: np.ndarray | None = None) -> DataFrame:
+    """(id, text_hash, n_words, at, seed): the k-word shingles of all rows, one a row; if `only` (ascending
+    hashes) is given, those among it, so that nothing else leaves the Arrow batches."""
 
     def run(it):
         for batch, texts in batches_of(it):
             starts, ends, counts = texts.words(ALNUM)
-            h, _ = windows(word_hashes(texts.buf, starts, ends, lower=True), counts, k)
+            h, at = windows(word_hashes(texts.buf, starts, ends, lower=True), counts, k)
+            sizes = np.maximum(counts - k + 1, 0)
+            doc = np.repeat(np.arange(len(counts)), sizes)
+            at = at - (np.cumsum(counts) - counts)[doc]
+            if only is not None:
+                on = np.flatnonzero(only[np.minimum(np.searchsorted(only, h), len(only) - 1)] == h) if len(only) else np.empty(0, np.int64)
+                h, at, doc = h[on], at[on], doc[on]
+            some, sizes = np.unique(doc, return_counts=True)
+            kept = pa.array(some)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), list_array(h.view(np.int64), np.maximum(counts - k + 1, 0), pa.int64())],
-                names=["id", "text_hash", "n_words", "seeds"],
+                [batch.column(0).take(kept), batch.column(1).take(kept), pa.array(counts[some], pa.int64()), list_array(at.astype(np.int32), sizes, pa.int32()), list_array(h.view(np.int64), sizes, pa.int64())],
+                names=["id", "text_hash", "n_words", "places", "seeds"],
             )
+        free_memory()
 
-    lists = rows.mapInArrow(run, "id long, text_hash long, n_words long, seeds array<long>")
-    return lists.select("id", "text_hash", "n_words", F.posexplode("seeds").alias("at", "seed"))
+    lists = rows.mapInArrow(run, "id long, text_hash long, n_words long, places array<int>, seeds array<long>")
+    return lists.select("id", "text_hash", "n_words", F.inline(F.arrays_zip(F.col("places").alias("at"), F.col("seeds").alias("seed"))))
 
 
 def _rows(df: DataFrame, key: str) -> DataFrame:
@@ -94,8 +106,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, k: int = K) -> DataFrame:
     items = _seeds(_rows(benchmark, "item_id").dropDuplicates(["id", "text_hash"]), k)
     seeds = items.select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), F.col("n_words").alias("item_words"), F.col("at").alias("i"), "seed")
     n_seeds = seeds.count()
-    right = F.broadcast(seeds) if n_seeds <= BROADCAST_SEEDS else seeds
-    left = _seeds(_rows(docs, "doc_id"), k).select(F.col("id").alias("doc_id"), "text_hash", F.col("at").alias("d"), "seed")
+    few = n_seeds <= BROADCAST_SEEDS
+    right = F.broadcast(seeds) if few else seeds
+    # at most BROADCAST_SEEDS hashes of the benchmark come to the driver and go out with the function
+    only = np.sort(seeds.select("seed").distinct().toArrow()["seed"].to_numpy().view(U64)) if few else None
+    left = _seeds(_rows(docs, "doc_id"), k, only).select(F.col("id").alias("doc_id"), "text_hash", F.col("at").alias("d"), "seed")
     # a pair's seeds are bounded by the two texts; equal rows give equal seeds, kept once
     pairs = left.join(right, "seed").groupBy("doc_id", "text_hash", "item_id", "item_hash", "item_words").agg(F.collect_set(F.struct("d", "i")).alias("at"))
 

@@ -9,7 +9,8 @@ span is reported if enough of the template is verified inside it. Short phrases
 which every gram must lie on one diagonal.
 
 Defined results: a null or empty text has no words, places or labels and score 0; rows that share
-a doc_id are scanned each on its own text, equal rows get equal results; the table of templates is
+a doc_id are scanned each on its own text, equal rows get equal results; very long texts are scanned
+whole, a word of any length being one hash; ties between labels do not arise, all are reported; the table of templates is
 broadcast, its size being fixed by the template list; extra columns are ignored.
 """
 

@@ -7,7 +7,8 @@ below its source's threshold, so nothing is sorted, and a larger budget takes a
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; a source
 of size 0 has target 0 and nothing is taken of it; rows that share doc_id and text share a hash
-and are taken or left together; an empty table gives an empty result. Input columns beyond
+and are taken or left together, ties of the hash likewise; a very long text is one document of
+its size; an empty table gives an empty result. Input columns beyond
 doc_id, text and source are ignored by `mix` and kept by `sample_mix`.
 """
 

@@ -5,7 +5,8 @@ context and measures the bytes it adds to the compressed form of the text around
 dictionary of identifiers and code. Words, names and repeats of the surroundings add little; random
 keys add nearly their own entropy, and such strings are reported as kind `novel`.
 
-Defined results: a null or empty text has no spans; a document's result depends on its text alone,
+Defined results: a null or empty text has no spans; a very long text is searched whole, a
+long candidate measured whole; a document's result depends on its text alone,
 so repeated rows and ties agree; offsets are code points, ends exclusive; extra columns are ignored.
 """
 

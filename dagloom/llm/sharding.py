@@ -7,7 +7,8 @@ cuts them by its row of the matrix; after the exchange each shard permutes again
 second key's top bits, so that no shard is ever sorted in one task.
 
 Defined results: a null text counts as empty (size 8, crc 0); a null doc_id is an id like any
-other; repeated rows are dealt like any others; an empty table gives an empty result; columns
+other; repeated rows are dealt like any others, and as they are equal their order does not matter;
+ties of random keys go by id and crc; a very long text counts by its size and does not travel; an empty table gives an empty result; columns
 beyond doc_id and text are ignored by `shard_rows` and kept by `assign`.
 """
 

@@ -4,7 +4,9 @@ corpus; repeated windows merge into maximal removal intervals.
 Defined results: a null or empty text has no words and keeps the empty text; a document shorter
 than the window loses nothing; rows that share a doc_id are one document and never remove each
 other's words; a null doc_id counts as the largest id. Columns other than doc_id and text are
-ignored. Two different windows share a 64-bit hash with probability 2**-64.
+ignored. A very long text is one document, compared whole; texts that
+tie in doc_id are put in order of their bytes. Two different windows share a 64-bit hash with
+probability 2**-59 at most.
 """
 
 from __future__ import annotations

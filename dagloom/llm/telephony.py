@@ -6,7 +6,9 @@ stored WAV files, expands them to 16-bit PCM and resamples. Everything is intege
 results are the same on any machine.
 
 Defined results: a null or empty payload becomes one unit of silence bytes (32); a stored file
-that is null or no WAV of these codecs gives null features and no PCM. Extra columns are ignored.
+that is null or no WAV of these codecs gives null features and no PCM. A very long payload is one
+long file, with as many blocks as it needs; repeated rows and equal payloads give equal files and
+features, and nothing is ranked, so there are no ties. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ toxic document is derived from how many associated words it holds (`GRADE_HITS`)
 
 Defined results: a null or empty text has no features and gets the model's base rate; label rows
 with a null label or without a document are left out; without labels of both classes every
-document has severity 0; repeated rows get equal scores; other columns pass through `score`
+document has severity 0; repeated rows get equal scores; very long texts are scored on all their
+words; grades that tie in probability go to the lower one; other columns pass through `score`
 unchanged, and a column named like one of the added ones is replaced.
 """
 
