@@ -31,6 +31,8 @@ COVERAGE = 0.5
 #: seeds of the benchmark are broadcast up to this number, and other shingles of documents never become
 #: rows; beyond it both sides are shuffled
 BROADCAST_SEEDS = 200_000
+#: bits of a hash that a table of the known seeds is indexed by
+LOW = U64((1 << 22) - 1)
 
 
 def _seeds(rows: DataFrame, k: int, only: np.ndarray | None = None) -> DataFrame:
@@ -38,6 +40,9 @@ def _seeds(rows: DataFrame, k: int, only: np.ndarray | None = None) -> DataFrame
     hashes) is given, those among it, so that nothing else leaves the Arrow batches."""
 
     def run(it):
+        known = np.zeros(int(LOW) + 1, bool)
+        if only is not None:
+            known[(only & LOW).astype(np.int64)] = True
         for batch, texts in batches_of(it):
             starts, ends, counts = texts.words(ALNUM)
             h, at = windows(word_hashes(texts.buf, starts, ends, lower=True), counts, k)
@@ -45,7 +50,8 @@ def _seeds(rows: DataFrame, k: int, only: np.ndarray | None = None) -> DataFrame
             doc = np.repeat(np.arange(len(counts)), sizes)
             at = at - (np.cumsum(counts) - counts)[doc]
             if only is not None:
-                on = np.flatnonzero(only[np.minimum(np.searchsorted(only, h), len(only) - 1)] == h) if len(only) else np.empty(0, np.int64)
+                on = np.flatnonzero(known[(h & LOW).astype(np.int64)])  # a bit table spares most lookups
+                on = on[only[np.minimum(np.searchsorted(only, h[on]), len(only) - 1)] == h[on]]
                 h, at, doc = h[on], at[on], doc[on]
             some, sizes = np.unique(doc, return_counts=True)
             kept = pa.array(some)
