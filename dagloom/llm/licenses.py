@@ -4,13 +4,15 @@ All rolling word k-gram hashes of every document are joined to the positions of
 license templates. A match votes for its template's offset diagonal (document position minus
 template position); a vote counts only if a second, independent hash proves the gram's words to be
 the template's.
-Neighbouring diagonals merge into one span, so inserted or dropped words do not break it, and a
-span is reported if enough of the template is verified inside it. Short phrases are templates of
-which every gram must lie on one diagonal.
+Neighbouring diagonals merge into one span, so inserted or dropped words do not break it. A span's
+matches are then chained in the order of both texts, words skipped in either costing a part of a
+match, and the span is reported if the best chain holds enough of the template; it reaches from the
+chain's first word to its last. So scattered or shuffled grams of a template are no notice. Short
+phrases are templates of which every gram must lie on one diagonal.
 
 Defined results: a null or empty text has no words, places or labels and score 0; rows that share
 a doc_id are scanned each on its own text, equal rows get equal results; very long texts are scanned
-whole, a word of any length being one hash; ties between labels do not arise, all are reported; the table of templates is
+whole, a word of any length being one hash; of equally good chains the first counts, and all labels are reported; the table of templates is
 broadcast, its size being fixed by the template list; extra columns are ignored.
 """
 
@@ -29,8 +31,10 @@ from dagloom.llm.tokens import ALNUM, Texts, batches_of, rolling, windows, word_
 K = 2
 #: diagonals at most so far apart belong to one span
 BAND = 3
-#: share of a template's grams that must be verified in a span
+#: share of a template's grams that must be verified in a span, in order
 COVERAGE = 0.5
+#: what a word skipped in the document or the template costs a chain, in matches
+SKIP = 0.1
 
 # Phrases and their labels.
 PHRASES = {
@@ -104,22 +108,67 @@ def votes(grams: DataFrame) -> DataFrame:
     return met.select("row", "template", "label", "total", F.col("pos").cast("long").alias("pos"), "tpos")
 
 
+SPANS = "row long, template string, label string, start long, end long, score double"
+
+
+def best_chain(pos: np.ndarray, tpos: np.ndarray, total: int) -> tuple[int, int, int]:
+    """(first position, last position, matches) of the best chain of matches that rise in both
+    texts: one for each match, less SKIP for each word skipped between two on either side."""
+    order = np.lexsort((-tpos, pos))  # matches of one word come from the template's end, so none follows another
+    # of the best chain that ends at each template position: score and what SKIP takes no more of
+    # it, so that chains ended at different places compare; its matches; its first position
+    reach = np.full(total, -np.inf)
+    matches, first = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    best, found = 0.0, (0, 0, 0)
+    for p, t in zip(pos[order].tolist(), tpos[order].tolist(), strict=True):
+        score, n, start = 1.0, 1, p
+        if t:
+            k = int(np.argmax(reach[:t]))
+            joined = 1.0 + reach[k] - SKIP * (p + t - 2)
+            if joined > score:
+                score, n, start = joined, int(matches[k]) + 1, int(first[k])
+        if score + SKIP * (p + t) > reach[t]:
+            reach[t], matches[t], first[t] = score + SKIP * (p + t), n, start
+        if score > best:
+            best, found = score, (start, p, n)
+    return found
+
+
+def _verified(it):
+    """SPANS rows of merged spans: a phrase as it is, a notice if its best chain covers enough."""
+    for batch in it:
+        out = []
+        for r in batch.to_pylist():
+            if r["template"] in PHRASES:
+                out.append((r["row"], r["template"], r["label"], r["start"], r["end"], 1.0))
+                continue
+            tpos = np.concatenate([np.asarray(c["hits"], np.int64) for c in r["cells"]])
+            pos = tpos + np.repeat([c["d"] for c in r["cells"]], [len(c["hits"]) for c in r["cells"]])
+            start, last, n = best_chain(pos, tpos, r["total"])
+            if n >= COVERAGE * r["total"]:
+                out.append((r["row"], r["template"], r["label"], start, last + K, n / r["total"]))
+        columns = list(zip(*out, strict=True)) if out else [()] * 6
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "template", "label", "start", "end", "score"])
+
+
 def spans(found: DataFrame) -> DataFrame:
-    """(row, template, label, start, end, score) of spans: votes summed by diagonal, neighbouring
-    diagonals merged, and the share of the template's grams verified inside."""
+    """SPANS rows of what is reported: votes summed by diagonal, neighbouring diagonals merged, and
+    of spans with enough of the template's grams those that hold them in order."""
     diagonal = found.groupBy("row", "template", "label", "total", (F.col("pos") - F.col("tpos")).alias("d")).agg(
         F.collect_set("tpos").alias("hits"), F.min("pos").alias("first"), F.max("pos").alias("last")
     )
     by = Window.partitionBy("row", "template").orderBy("d")
     # a phrase stands on one diagonal; a notice may lose or gain words inside
-    band = F.when(F.col("template").isin(*PHRASES), 0).otherwise(BAND)
-    new = F.coalesce((F.col("d") - F.lag("d").over(by) > band).cast("int"), F.lit(1))
+    is_phrase = F.col("template").isin(*PHRASES)
+    new = F.coalesce((F.col("d") - F.lag("d").over(by) > F.when(is_phrase, 0).otherwise(BAND)).cast("int"), F.lit(1))
     merged = diagonal.withColumn("new", new).withColumn("span", F.sum("new").over(by))
-    return (
-        merged.groupBy("row", "template", "label", "total", "span")
-        .agg(F.min("first").alias("start"), (F.max("last") + K).alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("covered"))
-        .select("row", "template", "label", "start", "end", (F.col("covered") / F.col("total")).alias("score"))
+    merged = merged.groupBy("row", "template", "label", "total", "span").agg(
+        F.min("first").alias("start"), (F.max("last") + K).alias("end"), F.collect_list(F.struct("d", "hits")).alias("cells")
     )
+    covered = F.size(F.array_distinct(F.flatten(F.transform("cells", lambda c: c["hits"]))))
+    enough = covered >= F.when(is_phrase, F.col("total")).otherwise(F.col("total") * COVERAGE)
+    return merged.where(enough).select("row", "template", "label", "total", "start", "end", "cells").mapInArrow(_verified, SPANS)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -129,9 +178,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     found = spans(votes(document_grams(rows)))
     is_phrase = F.col("template").isin(*PHRASES)
-    place = is_phrase & (F.col("score") >= 1)
-    kept = found.where(place | (~is_phrase & (F.col("score") >= COVERAGE)))
-    per_doc = kept.groupBy("row").agg(
+    per_doc = found.groupBy("row").agg(
         F.count(F.when(is_phrase, 1)).alias("n_base"),
         F.min(F.when(is_phrase, F.col("start"))).alias("first_word"),
         F.max(F.when(is_phrase, F.col("start"))).alias("last_word"),

@@ -2,18 +2,21 @@
 
 Patterns find the base spans. The method then looks at every long token-like string in a sensitive
 context and measures the bytes it adds to the compressed form of the text around it, under a
-dictionary of identifiers and code. Words, names and repeats of the surroundings add little; random
-keys add nearly their own entropy, and such strings are reported as kind `novel`.
+dictionary of the corpus' most frequent identifiers, counted over all documents, and of words of code.
+Words, names and other text of the surroundings add little; random keys add nearly their own entropy,
+and such strings are reported as kind `novel`.
 
 Defined results: a null or empty text has no spans; a very long text is searched whole, a
-long candidate measured whole; a document's result depends on its text alone,
-so repeated rows and ties agree; offsets are code points, ends exclusive; extra columns are ignored.
+long candidate measured whole; a document's result depends on its text and the dictionary alone,
+so repeated rows and ties agree, and base spans depend on the text alone; identifiers of equal count
+go by their code points; offsets are code points, ends exclusive; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,11 @@ TOKEN = np.zeros(256, bool)
 TOKEN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="]] = True
 LEAST_NOVEL = 20
 CONTEXT_BYTES = 48
+#: the surrounding code that a candidate is measured against, on either side
+CODE_BYTES = 192
+#: identifiers of the corpus in the dictionary, at most; letters alone, so that no key gets in
+MOST_IDENTIFIERS = 2000
+IDENTIFIER = re.compile(rb"(?<![A-Za-z0-9_])[A-Za-z](?:_?[A-Za-z]){2,31}(?![A-Za-z0-9_])")
 SENSITIVE = re.compile(rb"(?i:key|secret|token|auth|bearer|credential|private|passw|pwd|access)")
 #: what stands between parts of one secret: lines of a key, parts of a signed token
 JOINT = re.compile(rb"\.|\r?\n[\x20\t]*")
@@ -58,14 +66,14 @@ IDENTIFIERS = (
 class Novelty:
     """Marginal compressed bytes under a primed dictionary."""
 
-    def __init__(self) -> None:
-        kind = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, identifiers: bytes = b"") -> None:
+        kind = zstandard.ZstdCompressionDict(identifiers + b" " + IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         kind.precompute_compress(level=3)
         self._z = zstandard.ZstdCompressor(dict_data=kind, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def added(self, before: bytes, candidate: bytes, after: bytes) -> float:
-        """Added bytes for each byte of the candidate."""
-        around = before + b"\n" + after
+        """Added bytes for each byte of the candidate. Its own copies nearby don't count as surroundings."""
+        around = (before + b"\n" + after).replace(candidate, b"")
         return (len(self._z.compress(around + b"\n" + candidate)) - len(self._z.compress(around))) / max(1, len(candidate))
 
 
@@ -95,24 +103,40 @@ def spans_of(text: bytes, hexes: list[tuple[int, int]], tokens: list[tuple[int,
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     out += [(a, 2, b) for a, b in hexes]
-    scored = [(a, k, b, novelty.added(text[max(0, a - CONTEXT_BYTES) : a], text[a:b], text[b : b + CONTEXT_BYTES])) for a, k, b in out]
+    scored = [(a, k, b, novelty.added(text[max(0, a - CODE_BYTES) : a], text[a:b], text[b : b + CODE_BYTES])) for a, k, b in out]
     joined = 0  # end of the last candidate in a sensitive context
     for a, b in tokens:
         before = text[max(0, a - CONTEXT_BYTES) : a]
         # the name of an assignment may touch its value, so the candidate's own head counts too
         if SENSITIVE.search(before) or SENSITIVE.search(text[a : a + 16]) or (joined and JOINT.fullmatch(text, joined, a)):
             joined = b
-            added = novelty.added(before, text[a:b], text[b : b + CONTEXT_BYTES])
+            added = novelty.added(text[max(0, a - CODE_BYTES) : a], text[a:b], text[b : b + CODE_BYTES])
             if added >= NOVELTY:
                 scored.append((a, 3, b, added))
     return sorted(scored)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Spans of every whole text: kinds, starts, ends (code points) and the novelty of each."""
+def identifiers(docs: DataFrame, most: int = MOST_IDENTIFIERS) -> bytes:
+    """The `most` most frequent identifiers of all documents, the most frequent last, where a match
+    is cheapest. At most 64 bytes each reach the driver."""
 
     def run(it):
-        novelty = Novelty()
+        for _, texts in batches_of(it):
+            found = Counter(IDENTIFIER.findall(texts.joined(b"\n")))
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "word").limit(most).collect()
+    return " ".join(r["word"] for r in reversed(top)).encode()
+
+
+def scan(docs: DataFrame, known: bytes | None = None) -> DataFrame:
+    """Spans of every whole text: kinds, starts, ends (code points) and the novelty of each, under
+    `known` identifiers or those of docs."""
+    known = identifiers(docs) if known is None else known
+
+    def run(it):
+        novelty = Novelty(known)
         for batch, texts in batches_of(it):
             buf, off = texts.buf, texts.off
             data = buf.tobytes()

@@ -101,6 +101,11 @@ class Texts:
     def bytes_of(self, i: int) -> bytes:
         return self.buf[self.off[i] : self.off[i + 1]].tobytes()
 
+    def joined(self, by: bytes) -> bytes:
+        """All texts, with `by` between them."""
+        data, at = memoryview(self.buf), self.off.tolist()
+        return by.join(data[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+
     def pieces(self, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
         """Ranges of texts of about `most` bytes; a longer text stands alone."""
         i = 0

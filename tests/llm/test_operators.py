@@ -190,6 +190,45 @@ def test_license_places(spark):
     assert by_id[3].n_base == 3 and by_id[3].base_labels == "cc-by"
 
 
+def test_license_notices_in_order(spark):
+    rng = random.Random(41)
+    notice = L.NOTICES["mit-text"].split()
+    shuffled = [notice[i : i + 2] for i in range(0, len(notice), 2)]
+    rng.shuffle(shuffled)
+    spread = [x for w in notice for x in (w, *words(rng, 6).split())]
+    texts = [
+        words(rng, 50) + " " + " ".join(notice[:20] + ["hereby", "x"] + notice[20:]) + " " + words(rng, 50),
+        " ".join(w for pair in shuffled for w in pair),
+        " ".join(spread),
+        "the software " * 3000 + " ".join(notice),
+        "x" * 5000 + " " + " ".join(notice[: len(notice) // 3]),
+    ]
+    got = {r.doc_id: r for r in L.scan(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [(s.template, s.start, s.end) for s in got[0].spans] == [("mit-text", 50, 52 + len(notice))]
+    assert not got[1].labels and not got[2].labels and not got[4].labels
+    assert got[3].labels == "mit-text" and got[3].spans[0].end == 6000 + len(notice)
+
+
+def test_best_chain_against_all_chains():
+    rng = random.Random(42)
+    for _ in range(200):
+        pairs = sorted({(rng.randrange(12), rng.randrange(6)) for _ in range(rng.randrange(1, 14))})
+
+        def chains(at, pairs=pairs):
+            q, u = pairs[at]
+            yield 1.0, q, 1
+            for k, (p, t) in enumerate(pairs):
+                if p < q and t < u:
+                    for score, start, n in chains(k):
+                        yield score + 1 - L.SKIP * (q - p - 1 + u - t - 1), start, n + 1
+
+        every = [(score, start, pairs[k][0], n) for k in range(len(pairs)) for score, start, n in chains(k)]
+        most = max(every)[0]
+        order = rng.sample(pairs, len(pairs))
+        found = L.best_chain(np.array([p for p, _ in order]), np.array([t for _, t in order]), 6)
+        assert found in {x[1:] for x in every if x[0] > most - 1e-9}
+
+
 # 4
 
 
@@ -244,6 +283,27 @@ def test_secrets(spark):
             assert r.kinds == []
 
 
+def test_secret_dictionary_comes_from_all_documents(spark):
+    rng = random.Random(61)
+    rows = [(i, None if i == 3 else words(rng, 30) + " load_user_name x1y2z3 é_user 0abc " * (i % 4), "s") for i in range(60)] + [(None, "", "s")]
+    plain = Counter()
+    for _, t, _ in rows:
+        plain.update(m[0] for m in re.finditer(r"(?<![A-Za-z0-9_])[A-Za-z](_?[A-Za-z]){2,31}(?![A-Za-z0-9_])", t or ""))
+    best = sorted(plain, key=lambda w: (-plain[w], w))
+    assert "load_user_name" in best and "x1y2z3" not in best
+    for most in (5, 2000):
+        assert S.identifiers(frame(spark, rows).repartition(3), most) == " ".join(reversed(best[:most])).encode()
+    assert S.identifiers(frame(spark, rows).limit(0)) == b""
+    # a name of the corpus is known, and a key that stands twice is still new
+    name = "Qz_Wkx_Jvp_Ghr_Bnm_Tyl"
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(44))
+    texts = [f"private {name} .", f"auth {key} and auth {key} .", "x" * 100_000 + f" auth {key}", f"auth {key} and auth {key} ."]
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(None, texts[1], "s")])
+    got = {r.doc_id: r.kinds for r in S.scan(docs).collect()}
+    assert got == {0: [], 1: ["novel"] * 2, 2: ["novel"], 3: ["novel"] * 2, None: ["novel"] * 2}
+    assert {r.doc_id: r.kinds for r in S.scan(docs, b"").collect()}[0] == ["novel"]
+
+
 def test_every_line_of_a_key_is_found(spark):
     rng = random.Random(6)
     chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
