@@ -44,6 +44,8 @@ CODE_BYTES = 192
 #: identifiers of the corpus in the dictionary, at most; letters alone, so that no key gets in
 MOST_IDENTIFIERS = 2000
 IDENTIFIER = re.compile(rb"(?<![A-Za-z0-9_])[A-Za-z](?:_?[A-Za-z]){2,31}(?![A-Za-z0-9_])")
+#: different names that a task counts before it hands them on
+HELD_NAMES = 1 << 17
 SENSITIVE = re.compile(rb"(?i:key|secret|token|auth|bearer|credential|private|passw|pwd|access)")
 #: what stands between parts of one secret: lines of a key, parts of a signed token
 JOINT = re.compile(rb"\.|\r?\n[\x20\t]*")
@@ -120,14 +122,22 @@ def identifiers(docs: DataFrame, most: int = MOST_IDENTIFIERS) -> bytes:
     """The `most` most frequent identifiers of all documents, the most frequent last, where a match
     is cheapest. At most 64 bytes each reach the driver."""
 
+    def handed_on(found):
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
     def run(it):
-        for _, texts in batches_of(it):
-            found = Counter(IDENTIFIER.findall(texts.joined(b"\n")))
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+        found: Counter = Counter()
+        for _, texts in batches_of(it, 1 << 20):
+            found.update(IDENTIFIER.findall(texts.joined(b"\n")))
+            if len(found) > HELD_NAMES:
+                yield handed_on(found)
+                found = Counter()
+        yield handed_on(found)
 
     counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(most).collect()
-    return " ".join(r["word"] for r in reversed(top)).encode()
+    # gathered by an executor, so that the driver does not get the first ones of every task
+    top = counted.orderBy(F.desc("n"), "word").limit(most).agg(F.collect_list(F.struct("n", "word")).alias("top")).first()["top"]
+    return " ".join(w for _, w in sorted(top, key=lambda x: (-x["n"], x["word"]), reverse=True)).encode()
 
 
 def scan(docs: DataFrame, known: bytes | None = None) -> DataFrame:
