@@ -104,6 +104,25 @@ def context_get(context: Column, key: str) -> Column:
     return F.try_element_at(context, F.lit(key))
 
 
+def context_fetch(context: Column, key: str) -> Column:
+    """As context_get, but a missing key is an error."""
+    return F.when(F.map_contains_key(context, key), context_get(context, key)).otherwise(F.raise_error(F.lit(f"no key: {key}")).cast("string"))
+
+
+def context_entries(context: Column) -> Column:
+    """(key, value) pairs by key."""
+    return F.array_sort(F.map_entries(context))
+
+
+def context_equal(left: Column, right: Column) -> Column:
+    """Maps can't be compared, their sorted entries can."""
+    return context_entries(left).eqNullSafe(context_entries(right))
+
+
+def context_empty(context: Column) -> Column:
+    return F.size(context) == 0
+
+
 def context_keys(context: Column) -> Column:
     return F.array_sort(F.map_keys(context))
 
@@ -117,8 +136,11 @@ def context_size(context: Column) -> Column:
 
 
 def context_dig(text: Column, *path: str) -> Column:
-    """A nested value of a JSON context, as text."""
-    return F.get_json_object(text, "$" + "".join(f".{p}" for p in path))
+    """A nested value of a JSON context, as text; keys may hold dots and brackets."""
+    for p in path:
+        if re.search(r"['?]", p):
+            raise ValueError(f"a path can't name the key {p!r}")
+    return F.get_json_object(text, "$" + "".join(f"['{p}']" for p in path))
 
 
 # tagged results: struct<kind, value, error, ...>
@@ -153,6 +175,19 @@ def timestamp_millis(ts: Column) -> Column:
 
 # driver-side checks
 
+#: kinds of values that `expect` names
+KINDS: dict[str, tuple[type, ...]] = {"array": (list, tuple), "mapping": (dict,), "string": (str,), "integer": (int,), "boolean": (bool,)}
+
+
+def expect(value: Any, kind: str | type, name: str, optional: bool = False, message: str | None = None) -> Any:
+    """The value if it is of a kind of KINDS or of a class, or None where that is allowed. A
+    boolean is no integer."""
+    types = KINDS[kind] if isinstance(kind, str) else (kind,)
+    if (value is None and optional) or (isinstance(value, types) and (kind != "integer" or not isinstance(value, bool))):
+        return value
+    what = kind if isinstance(kind, str) else kind.__name__
+    raise ValueError(message or f"{name} must be a {what}{' or None' if optional else ''}")
+
 
 def positive_int(value: Any, name: str) -> int:
     if isinstance(value, bool) or not isinstance(value, int) or value < 1:
@@ -172,9 +207,9 @@ def nonempty(value: Any, name: str) -> str:
     return value
 
 
-def one_of(value: Any, allowed: tuple, name: str) -> Any:
+def one_of(value: Any, allowed: tuple, name: str, message: str | None = None) -> Any:
     if value not in allowed:
-        raise ValueError(f"invalid {name}: {value!r}")
+        raise ValueError(message or f"invalid {name}: {value!r}")
     return value
 
 
@@ -182,3 +217,26 @@ def ref_part(value: Any, name: str) -> str:
     if re.search(":", nonempty(value, name)):
         raise ValueError(f"{name} must not hold ':'")
     return value
+
+
+def revision_number(value: Any) -> int:
+    return positive_int(value, "revision")
+
+
+def node_name(value: Any) -> str:
+    return expect(value, "string", "node id")
+
+
+def able_to(value: Any, methods: tuple[str, ...], name: str) -> Any:
+    """A dependency that has all the methods."""
+    lacks = [m for m in methods if not callable(getattr(value, m, None))]
+    if lacks:
+        raise ValueError(f"{name} lacks {', '.join(lacks)}")
+    return value
+
+
+def all_given(given: dict[str, Any], name: str) -> dict[str, Any]:
+    missing = [k for k, v in given.items() if v is None]
+    if missing:
+        raise ValueError(f"{name} needs {', '.join(missing)}")
+    return given

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -113,6 +113,29 @@ class Definition:
     def node_ids(self) -> list[str]:
         return [n[0] for n in self.nodes]
 
+    def __repr__(self) -> str:
+        return f"Definition(revision={self.revision}, nodes={len(self.nodes)}, edges={len(self.edges)})"
+
+    def has_node(self, node_id: str) -> bool:
+        return node_id in self.node_ids
+
+    def each_node(self) -> Iterator[str]:
+        return iter(self.node_ids)
+
+    def each_edge(self) -> Iterator[tuple[str, str, dict]]:
+        return iter(self.edges)
+
+    def each_predecessor(self, node_id: str) -> Iterator[str]:
+        return iter(sorted(a for a, b, _ in self.edges if b == self._known(node_id)))
+
+    def each_successor(self, node_id: str) -> Iterator[str]:
+        return iter(sorted(b for a, b, _ in self.edges if a == self._known(node_id)))
+
+    def _known(self, node_id: str) -> str:
+        if node_id not in self.node_ids:
+            raise UnknownNodeError(f"unknown node: {node_id}")
+        return node_id
+
     def step_of(self, node_id: str) -> tuple[str, dict]:
         for n, kind, config in self.nodes:
             if n == node_id:
@@ -131,20 +154,33 @@ class Definition:
             found[dst].append(src)
         return {n: sorted(p) for n, p in found.items()}
 
+    def successors(self) -> dict[str, list[str]]:
+        """Direct successors of every node, sorted."""
+        found: dict[str, list[str]] = {n: [] for n in self.node_ids}
+        for src, dst, _ in self.edges:
+            found[src].append(dst)
+        return {n: sorted(s) for n, s in found.items()}
+
     def topological_order(self) -> list[str]:
         g = self._local()
         return [g.names[i] for i in g.order()]
 
-    def descendants_of(self, node_id: str) -> set[str]:
-        if node_id not in self.node_ids:
-            raise UnknownNodeError(f"unknown node: {node_id}")
+    def descendants_of(self, node_id: str, include_self: bool = True) -> set[str]:
+        self._known(node_id)
         g = self._local()
-        return set(g.names[g.reach([g.index[node_id]])])
+        return set(g.names[g.reach([g.index[node_id]])]) - (set() if include_self else {node_id})
 
-    def exclusive_descendants_of(self, node_id: str) -> set[str]:
+    def _around(self, node_id: str) -> set[str]:
+        """What the roots reach without passing a node."""
+        self._known(node_id)
         g = self._local()
-        around = g.reach([i for i in range(len(g.names)) if g.degree[i] == 0], closed=g.index[node_id])
-        return self.descendants_of(node_id) - set(g.names[around])
+        return set(g.names[g.reach([i for i in range(len(g.names)) if g.degree[i] == 0], closed=g.index[node_id])])
+
+    def exclusive_descendants_of(self, node_id: str, include_self: bool = True) -> set[str]:
+        return self.descendants_of(node_id, include_self) - self._around(node_id)
+
+    def shared_descendants_of(self, node_id: str) -> set[str]:
+        return self.descendants_of(node_id) & self._around(node_id)
 
     def to_dict(self) -> dict:
         return {
@@ -183,6 +219,26 @@ class RuntimeProfile:
         V.require_json_safe(self.metadata)
 
 
+def sha256_of(value: Any) -> str:
+    """Fingerprint of a value's canonical JSON."""
+    return hashlib.sha256(V.dump(value).encode()).hexdigest()
+
+
+@dataclass(frozen=True)
+class Ports:
+    """What a store and a runner take from outside: ids of attempts (None: workflow and number),
+    fingerprints of payloads, and the text form of dynamic values. Bulk queries over stored values
+    expect JSON."""
+
+    new_id: Callable[[], str] | None = None
+    fingerprint: Callable[[Any], str] = sha256_of
+    dump: Callable[[Any], str] = V.dump
+    load: Callable[[str], Any] = V.load
+
+    def __post_init__(self) -> None:
+        V.all_given({"fingerprint": self.fingerprint, "dump": self.dump, "load": self.load}, "Ports")
+
+
 @dataclass(frozen=True)
 class Intent:
     type: str
@@ -202,7 +258,48 @@ class Intent:
 
     @property
     def payload_fingerprint(self) -> str:
-        return hashlib.sha256(V.dump(self.payload).encode()).hexdigest()
+        return sha256_of(self.payload)
+
+
+@dataclass(frozen=True)
+class PreparedIntent:
+    """An intent with the place it came from: blocking if the attempt waits for it."""
+
+    intent: Intent
+    workflow_id: str
+    revision: int
+    node_id: str
+    attempt_id: str
+    blocking: bool
+    created_at_ms: int
+    payload_fingerprint: str
+
+    def __post_init__(self) -> None:
+        V.expect(self.intent, Intent, "intent")
+        V.nonempty(self.workflow_id, "workflow_id")
+        V.revision_number(self.revision)
+        V.node_name(self.node_id)
+        V.nonempty(self.attempt_id, "attempt_id")
+        V.expect(self.blocking, "boolean", "blocking")
+        V.nonneg_int(self.created_at_ms, "created_at_ms")
+        V.nonempty(self.payload_fingerprint, "payload_fingerprint")
+
+    @classmethod
+    def of(cls, intent: Intent, result_kind: str, created_at_ms: int, ports: Ports, **place: Any) -> PreparedIntent:
+        return cls(intent, blocking=result_kind == "waiting", created_at_ms=created_at_ms, payload_fingerprint=ports.fingerprint(intent.payload), **place)
+
+    @property
+    def place(self) -> dict:
+        return {"workflow_id": self.workflow_id, "revision": self.revision, "node_id": self.node_id, "attempt_id": self.attempt_id}
+
+    def record(self, id: str, effect_seq: int, ports: Ports) -> dict:
+        """The row of a newly reserved effect."""
+        i, at = self.intent, self.created_at_ms
+        return {
+            "id": id, "effect_seq": effect_seq, "ref": i.ref, **self.place, "type": i.type, "key": i.key, "payload": ports.dump(i.payload),
+            "payload_fingerprint": self.payload_fingerprint, "blocking": self.blocking, "status": "reserved", "result": None, "error": None, "external_ref": None,
+            "not_before_ms": None, "lease_owner": None, "lease_until_ms": None, "created_at_ms": at, "updated_at_ms": at, "metadata": ports.dump(i.metadata),
+        }
 
 
 @dataclass(frozen=True)
@@ -226,6 +323,11 @@ class Mutation:
                 raise ValueError("a replacement needs entry and exit nodes")
 
 
+def _all_of(values: Any, kind: type, name: str) -> None:
+    for x in V.expect(values, "array", name):
+        V.expect(x, kind, f"each of {name}")
+
+
 @dataclass(frozen=True)
 class Success:
     value: Any = None
@@ -235,6 +337,11 @@ class Success:
     mutations: tuple[Mutation, ...] = ()
     kind = "success"
 
+    def __post_init__(self) -> None:
+        V.expect(self.context_patch, "mapping", "context_patch")
+        _all_of(self.effects, Intent, "effects")
+        _all_of(self.mutations, Mutation, "mutations")
+
     def and_then(self, f: Callable[[Any], Result]) -> Result:
         return checked(f(self.value))
 
@@ -257,6 +364,12 @@ class Waiting:
     metadata: dict = field(default_factory=dict)
     kind = "waiting"
 
+    def __post_init__(self) -> None:
+        V.expect(self.reason, "string", "reason")
+        V.expect(self.resume_token, "string", "resume_token", optional=True)
+        V.expect(self.not_before_ms, "integer", "not_before_ms", optional=True)
+        _all_of(self.effects, Intent, "effects")
+
     @classmethod
     def at(cls, seconds: float, **rest: Any) -> Waiting:
         return cls(not_before_ms=int(seconds * 1000), **rest)
@@ -299,14 +412,14 @@ def attempt(f: Callable[[], Any], code: str = "exception") -> Result:
         return Failure({"code": code, "message": str(e), "error_class": type(e).__name__})
 
 
-def result_row(r: Result) -> dict:
-    """The stored form of a result; dynamic leaves are canonical JSON."""
+def result_row(r: Result, dump: Callable[[Any], str] = V.dump) -> dict:
+    """The stored form of a result; dynamic leaves are text, canonical JSON by default."""
     return {
         "kind": r.kind,
-        "value": V.dump(r.value) if isinstance(r, Success) else None,
-        "context_patch": {str(k): V.dump(v) for k, v in r.context_patch.items()} if isinstance(r, Success) else None,
-        "metadata": V.dump(r.metadata),
-        "error": V.dump(r.error) if isinstance(r, Failure) else None,
+        "value": dump(r.value) if isinstance(r, Success) else None,
+        "context_patch": {str(k): dump(v) for k, v in r.context_patch.items()} if isinstance(r, Success) else None,
+        "metadata": dump(r.metadata),
+        "error": dump(r.error) if isinstance(r, Failure) else None,
         "retriable": r.retriable if isinstance(r, Failure) else None,
         "reason": r.reason if isinstance(r, Waiting) else None,
         "resume_token": r.resume_token if isinstance(r, Waiting) else None,
@@ -322,9 +435,37 @@ class StepInput:
     metadata: dict
 
     @property
-    def snapshot(self) -> dict:
+    def runtime_snapshot(self) -> RuntimeSnapshot:
         """What a step may read of the run around it."""
-        return {k: self.metadata[k] for k in ("workflow_id", "revision", "attempt_id", "predecessors", "effects")} | {"node_id": self.node_id, "attempt_number": self.attempt_number}
+        own = ("workflow_id", "revision", "attempt_id", "predecessors", "effects")
+        rest = {k: v for k, v in self.metadata.items() if k not in own}
+        return RuntimeSnapshot(**{k: self.metadata[k] for k in own}, node_id=self.node_id, attempt_number=self.attempt_number, metadata=rest)
+
+
+@dataclass(frozen=True)
+class RuntimeSnapshot:
+    workflow_id: str
+    revision: int
+    node_id: str
+    attempt_id: str
+    attempt_number: int
+    predecessors: dict = field(default_factory=dict)
+    effects: dict = field(default_factory=dict)
+    metadata: dict = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        V.nonempty(self.workflow_id, "workflow_id")
+        V.revision_number(self.revision)
+        V.node_name(self.node_id)
+        V.nonempty(self.attempt_id, "attempt_id")
+        V.positive_int(self.attempt_number, "attempt_number")
+        for name in ("predecessors", "effects", "metadata"):
+            V.require_json_safe(V.expect(getattr(self, name), "mapping", name))
+
+    @property
+    def plan_version(self) -> tuple[str, int]:
+        """(workflow, revision): what the attempt was planned under."""
+        return self.workflow_id, self.revision
 
 
 @dataclass(frozen=True)

@@ -171,6 +171,16 @@ class Graph:
         e = self.edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges"))
         return n.join(e, "graph_id", "left").select("graph_id", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"))
 
+    def shown(self) -> DataFrame:
+        """(graph_id, text): each graph in a line."""
+        return self.counts().select("graph_id", F.format_string("Graph(nodes=%d, edges=%d)", "nodes", "edges").alias("text"))
+
+    def edges_shown(self) -> DataFrame:
+        """(graph_id, text): each edge as its ends, and its metadata if there is any."""
+        bare = F.coalesce(F.col("metadata"), F.lit("{}")) == "{}"
+        ends = F.format_string("%s -> %s", "src", "dst")
+        return self.edges.select("graph_id", F.concat(F.lit("Edge("), ends, F.when(bare, "").otherwise(F.concat(F.lit(", "), "metadata")), F.lit(")")).alias("text"))
+
     def degrees(self) -> DataFrame:
         """(graph_id, node_id, indegree, outdegree): one aggregation of both ends of the edges."""
         ends = self.edges.select("graph_id", F.inline(F.array(F.struct(F.col("dst").alias("node_id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("src").alias("node_id"), F.lit(0).alias("i"), F.lit(1).alias("o")))))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dagloom.plans.workflow import TERMINAL_EFFECT_STATUSES, claimable, is_terminal, lease_valid
+from dagloom.plans.workflow import TERMINAL_EFFECT_STATUSES, claimable, is_terminal, lease_valid, node_diagnostics
 
 NODE = ["workflow_id", "revision", "node_id"]
 
@@ -218,10 +218,8 @@ def waiting_reasons(attempts: DataFrame) -> DataFrame:
     return attempts.where("state = 'waiting'").groupBy(*NODE).agg(pick.alias("p")).select(*NODE, F.col("p.attempt_id").alias("last_waiting_attempt_id"), F.col("p.reason").alias("waiting_reason"))
 
 
-def full_diagnostics(nodes: DataFrame, states: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Every node of the revision, also without attempts (pending), with the waiting reason while it
-    waits."""
-    tries = attempts.groupBy(*NODE).agg(F.count(F.lit(1)).alias("attempt_count"))
-    joined = nodes.join(states, NODE, "left").join(tries, NODE, "left").join(waiting_reasons(attempts), NODE, "left")
-    state = F.coalesce("state", F.lit("pending"))
-    return joined.select(*NODE, state.alias("state"), F.coalesce("attempt_count", F.lit(0)).alias("attempt_count"), F.when(state == "waiting", F.col("waiting_reason")).alias("waiting_reason"))
+def full_diagnostics(nodes: DataFrame, states: DataFrame, attempts: DataFrame, links: DataFrame, effects: DataFrame) -> DataFrame:
+    """All fields of node_diagnostics for every node of a revision, also without attempts (pending).
+    attempts: with their reason."""
+    every = nodes.join(states, NODE, "left").na.fill("pending", ["state"])
+    return node_diagnostics(every, attempts, links, effects)

@@ -33,18 +33,22 @@ from dagloom.plans.catalog import (
     STATES_SQL,
     TERMINAL_SQL,
     WE,
+    WF,
     WN,
     _hops,
     _reach,
     all_states,
     committed_values,
     conv_graphs,
+    diagnostics_sql,
     part_graph,
     query,
+    shown,
     wf_graph,
+    with_reasons,
 )
 
-WF, RV = duck("workflows"), duck("revisions")
+RV = duck("revisions")
 KEYS = ["workflow_id", "revision", "node_id"]
 
 
@@ -282,13 +286,11 @@ def release_after_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 # diagnostics and inputs of steps
 
 
-@query(f"""SELECT s.workflow_id, 1::BIGINT AS revision, s.node_id, s.state, coalesce(t.n, 0) AS attempt_count, CASE WHEN s.state = 'waiting' THEN t.reason END AS waiting_reason
-FROM {ALL_STATES_SQL} s LEFT JOIN (SELECT workflow_id, node_id, count(*) AS n, arg_max('r' || attempt_seq, (attempt_number, attempt_id)) FILTER (state = 'waiting') AS reason FROM {AT} GROUP BY ALL) t
-ON t.workflow_id = s.workflow_id AND t.node_id = s.node_id""")
+@query(diagnostics_sql(ALL_STATES_SQL))
 def full_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attempts = relation(spark, sf_dir, "attempts").withColumn("reason", F.concat(F.lit("r"), "attempt_seq"))
+    attempts = with_reasons(relation(spark, sf_dir, "attempts"))
     nodes = attempts.select("workflow_id", F.lit(1).cast("long").alias("revision")).distinct().withColumn("node_id", F.explode(F.array(*[F.lit(f"n{i}") for i in range(4)])))
-    return L.full_diagnostics(nodes, W.node_states(attempts), attempts)
+    return shown(L.full_diagnostics(nodes, W.node_states(attempts), attempts, relation(spark, sf_dir, "attempt_effects"), relation(spark, sf_dir, "effects")))
 
 
 @query(f"""SELECT workflow_id, revision, node_id, attempt_id AS last_waiting_attempt_id, 'r' || attempt_seq AS waiting_reason FROM (SELECT *, row_number() OVER (
@@ -346,6 +348,14 @@ def edge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tagged(spark, sf_dir).edge_metadata("2", "3")
 
 
+@query(f"""SELECT graph_id, 'Edge(' || src || ' -> ' || dst || CASE WHEN CAST(src AS BIGINT) % 2 = 0 THEN ', {{"weight":' || CAST(weight / 4 AS VARCHAR) || '}}' ELSE '' END || ')' AS text FROM (SELECT DISTINCT * FROM {CD})
+UNION ALL SELECT n.graph_id, 'Graph(nodes=' || n.n || ', edges=' || coalesce(e.n, 0) || ')' FROM (SELECT graph_id, count(DISTINCT node_id) AS n FROM {CN} GROUP BY ALL) n
+LEFT JOIN (SELECT graph_id, count(*) AS n FROM (SELECT DISTINCT graph_id, src, dst FROM {CD}) GROUP BY ALL) e ON e.graph_id = n.graph_id""")
+def graphs_and_edges_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graphs = _tagged(spark, sf_dir)
+    return graphs.edges_shown().unionByName(graphs.shown())
+
+
 @query(f"""WITH RECURSIVE n AS (SELECT DISTINCT graph_id, node_id FROM {CN}), e AS (SELECT graph_id, src, dst, CASE WHEN CAST(src AS BIGINT) % 2 = 0 THEN weight / 4 ELSE 1.0::DOUBLE END AS weight FROM (SELECT DISTINCT * FROM {CD})),
 c(graph_id, node_id, d) AS (SELECT graph_id, node_id, 0::DOUBLE FROM n WHERE (graph_id, node_id) NOT IN (SELECT (graph_id, dst) FROM e) UNION SELECT e.graph_id, e.dst, c.d + e.weight FROM c JOIN e ON e.graph_id = c.graph_id AND e.src = c.node_id)
 SELECT graph_id, max(d) AS cost FROM c GROUP BY graph_id""")
@@ -482,19 +492,24 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT event_id, event_type AS got, CASE WHEN event_id % 2 = 0 THEN 'a,type' ELSE 'type' END AS keys, event_id % 2 = 0 AS has_a, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS size, event_type AS dug FROM events")
+@query("""SELECT event_id, event_type AS got, CASE WHEN event_id % 2 = 0 THEN 'a,type' ELSE 'type' END AS keys, event_id % 2 = 0 AS has_a, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS size, event_type AS dug,
+event_type AS fetched, CASE WHEN event_id % 2 = 0 THEN 'a=1,' ELSE '' END || 'type=' || event_type AS entries, event_id % 2 <> 0 AS same, false AS empty FROM events""")
 def context_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     one = F.create_map(F.lit("type"), F.col("event_type"))
     context = F.when(F.col("event_id") % 2 == 0, W.merge(F.create_map(F.lit("a"), F.lit("1")), one)).otherwise(one)
-    nested = F.concat(F.lit('{"x":{"type":"'), "event_type", F.lit('"}}'))
+    nested = F.concat(F.lit('{"x.y":{"type":"'), "event_type", F.lit('"}}'))
     return events.select(
         "event_id",
         V.context_get(context, "type").alias("got"),
         F.array_join(V.context_keys(context), ",").alias("keys"),
         V.context_has(context, "a").alias("has_a"),
         V.context_size(context).alias("size"),
-        V.context_dig(nested, "x", "type").alias("dug"),
+        V.context_dig(nested, "x.y", "type").alias("dug"),
+        V.context_fetch(context, "type").alias("fetched"),
+        F.array_join(F.transform(V.context_entries(context), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("entries"),
+        V.context_equal(context, one).alias("same"),
+        V.context_empty(context).alias("empty"),
     )
 
 

@@ -103,14 +103,15 @@ def node_states(attempts: DataFrame) -> DataFrame:
 
 def node_diagnostics(states: DataFrame, attempts: DataFrame, links: DataFrame, effects: DataFrame) -> DataFrame:
     """One row a node: state, attempts (all of them), the last attempt, the last failure (even if a
-    later attempt succeeded), and the effects linked to it. One aggregation of attempts and one of
-    effects, joined by node."""
+    later attempt succeeded), why it waits if it does (where attempts have a reason), and the effects
+    linked to it. One aggregation of attempts and one of effects, joined by node."""
     keys = ["workflow_id", "revision", "node_id"]
     order = F.struct(*_LATEST)
     tries = attempts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("attempt_count"),
         F.max_by("attempt_id", order).alias("last_attempt_id"),
         F.max_by(F.when(F.col("state") == "failed", F.struct("attempt_id", "error_code")), F.when(F.col("state") == "failed", order)).alias("f"),
+        F.max_by("reason" if "reason" in attempts.columns else F.lit(None).cast("string"), F.when(F.col("state") == "waiting", order)).alias("reason"),
     )
     rows = effects_of_nodes(links, effects).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("ref", "status"))).alias("e"), F.bool_and(F.col("status").isin(*TERMINAL_EFFECT_STATUSES)).alias("effects_terminal")
@@ -124,15 +125,19 @@ def node_diagnostics(states: DataFrame, attempts: DataFrame, links: DataFrame, e
         "last_attempt_id",
         F.col("f.error_code").alias("last_error_code"),
         F.col("f.attempt_id").alias("last_error_attempt_id"),
+        F.when(F.col("state") == "waiting", F.col("reason")).alias("waiting_reason"),
         F.coalesce(F.array_join(F.transform("e", lambda x: x["ref"]), ","), F.lit("")).alias("effect_refs"),
         F.coalesce(F.array_join(F.transform("e", lambda x: F.concat(x["ref"], F.lit("="), x["status"])), ","), F.lit("")).alias("effect_statuses"),
         "effects_terminal",
     )
 
 
-def finalize(states: DataFrame) -> DataFrame:
-    """Outcome of each workflow that has nothing left to run."""
+def finalize(states: DataFrame, workflows: DataFrame | None = None) -> DataFrame:
+    """Outcome of each workflow that has nothing left to run. Of `workflows` (workflow_id), those
+    without any node are completed."""
     got = states.groupBy("workflow_id").agg(F.bool_and(F.col("state") == "committed").alias("all"), F.bool_or(F.col("state") == "waiting").alias("waits"))
+    if workflows is not None:
+        got = workflows.select("workflow_id").distinct().join(got, "workflow_id", "left").na.fill({"all": True, "waits": False})
     state = F.when(F.col("all"), "completed").when(F.col("waits"), "waiting").otherwise("failed")
     return got.select("workflow_id", state.alias("state"), F.when(state == "failed", F.lit("no_eligible_but_incomplete")).alias("reason"))
 

@@ -90,6 +90,12 @@ def test_context_and_results(spark):
     m = F.create_map(F.lit("b"), F.lit("1"), F.lit("a"), F.lit("2"))
     assert one(spark, V.context_get(m, "a"), V.context_get(m, "z"), V.context_keys(m), V.context_has(m, "b"), V.context_size(m)) == ["2", None, ["a", "b"], True, 2]
     assert one(spark, V.context_dig(F.lit('{"a": {"b": 3}}'), "a", "b")) == ["3"]
+    assert one(spark, V.context_dig(F.lit('{"a.b": {"c[0]": 3}}'), "a.b", "c[0]"), V.context_fetch(m, "a"), V.context_empty(m), V.context_equal(m, m)) == ["3", "2", False, True]
+    assert [tuple(e) for e in one(spark, V.context_entries(m))[0]] == [("a", "2"), ("b", "1")]
+    with pytest.raises(Exception, match="no key: z"):
+        one(spark, V.context_fetch(m, "z"))
+    with pytest.raises(ValueError):
+        V.context_dig(F.lit("{}"), "it's")
     ok = F.struct(F.lit("success").alias("kind"), F.lit("1").alias("value"), F.lit(None).cast("string").alias("error"))
     bad = F.struct(F.lit("failure").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit("e").alias("error"))
     up = lambda c: F.concat(c, F.lit("!"))
@@ -101,3 +107,20 @@ def test_context_and_results(spark):
 def test_violations(spark):
     rows = spark.createDataFrame([("w", 1, "nonsense", 1, None, None, 1, "{}"), ("w", None, "node_started", 1, None, None, 1, "{}")], TABLES["events"])
     assert {(r.column, r.value, r.n) for r in violations("events", rows).collect()} == {("type", "nonsense", 1), ("seq", None, 1)}
+
+
+def test_checks():
+    fine = [([], "array"), ({}, "mapping"), ("", "string"), (0, "integer"), (False, "boolean"), (ValueError(), ValueError)]
+    for value, kind in fine:
+        assert V.expect(value, kind, "x") is value and V.expect(None, kind, "x", optional=True) is None
+        for other, _ in fine:
+            if other is not value:
+                with pytest.raises(ValueError, match="x must be a"):
+                    V.expect(other, kind, "x")
+        with pytest.raises(ValueError, match="own words"):
+            V.expect(None, kind, "x", message="own words")
+    assert V.one_of(1, (1, 2), "x") == 1 and V.revision_number(3) == 3 and V.node_name("n") == "n"
+    assert V.able_to("text", ("upper",), "x") == "text" and V.all_given({"a": 0}, "x") == {"a": 0}
+    for bad in (lambda: V.one_of(3, (1, 2), "x"), lambda: V.revision_number(0), lambda: V.node_name(None), lambda: V.able_to("text", ("upper", "fly"), "x"), lambda: V.all_given({"a": None}, "x")):
+        with pytest.raises(ValueError):
+            bad()
