@@ -1,13 +1,15 @@
 """Uniform sharding by a hypergeometric communication matrix.
 
-Rows are dealt to partitions by a hash of doc_id and counted. The matrix of how many rows of each
+Rows are dealt to partitions by a hash of doc_id and text, and counted; a row that is repeated more often than a
+partition should hold is dealt to several. The matrix of how many rows of each
 partition go to each shard is drawn from the exact (multivariate hypergeometric) law of a uniform
 shuffle, with shard sizes at most one apart. A partition permutes its rows by a random key and
 cuts them by its row of the matrix; after the exchange each shard permutes again, in cells of a
 second key's top bits, so that no shard is ever sorted in one task.
 
 Defined results: a null text counts as empty (size 8, crc 0); a null doc_id is an id like any
-other; repeated rows are dealt like any others, and as they are equal their order does not matter;
+other; repeated rows are dealt like any others, and as they are equal their order does not matter (how many
+of a row repeated very often go to which partition depends on the input's files);
 ties of random keys go by id and crc; a very long text counts by its size and does not travel; an empty table gives an empty result; columns
 beyond doc_id and text are ignored by `shard_rows` and kept by `assign`.
 """
@@ -25,6 +27,8 @@ SHARDS = 24
 #: rows for each partition and each cell, and the most partitions (which bounds the matrix)
 ROWS_PER_PARTITION = 4096
 MOST_PARTITIONS = 4096
+#: a partition of so many times its rows is looked into
+HOT = 4
 
 
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
@@ -69,6 +73,26 @@ def _key(seed: int, *more: Column) -> Column:
     return F.xxhash64(F.lit(seed), F.col("__id"), F.col("__crc"), *more)
 
 
+def _deal(rows: DataFrame, n: int, parts: int, seed: int, rows_per_partition: int) -> tuple[DataFrame, dict[int, int]]:
+    """rows (of n) with their partition, and each partition's number of rows. A hash keeps equal rows
+    together; of a row that alone fills a partition twice over, occurrences are dealt in turn."""
+    rows = rows.withColumn("__part", F.pmod(_key(seed), F.lit(parts)).cast("int"))
+    counts = dict(rows.groupBy("__part").count().collect())  # at most MOST_PARTITIONS rows
+    full = max(2 * n // parts, HOT * rows_per_partition)
+    crowded = [p for p, c in counts.items() if c > full]
+    if not crowded:
+        return rows, counts
+    often = rows.where(F.col("__part").isin(crowded)).groupBy(F.col("__id").alias("__i"), F.col("__crc").alias("__c")).agg(F.count(F.lit(1)).alias("__often"))
+    # proven bound: fewer than half as many such rows as partitions
+    often = F.broadcast(often.where(F.col("__often") > full))
+    turn = F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("__often") / rows_per_partition))
+    part = F.when(F.col("__often").isNull(), F.col("__part")).otherwise(F.pmod(_key(seed, turn), F.lit(parts)).cast("int"))
+    turned = rows.join(often, rows["__id"].eqNullSafe(F.col("__i")) & (rows["__crc"] == F.col("__c")), "left")
+    # turns go by the place in the input, so they are written before they are counted
+    rows = cut(turned.withColumn("__part", part).drop("__i", "__c", "__often"))
+    return rows, dict(rows.groupBy("__part").count().collect())
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, seed: int = 10, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
     """docs with columns shard (int) and slot (long, gapless from 0 in each shard); columns of
     these names are replaced."""
@@ -82,20 +106,22 @@ def _assign(docs: DataFrame, shards: int, seed: int, rows_per_partition: int) ->
     cells = max(1, -(-n // (shards * rows_per_partition)))
     bytes_of = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.withColumns({"__id": F.col("doc_id"), "__crc": F.crc32(bytes_of)})
-    rows = rows.withColumn("__part", F.pmod(_key(seed), F.lit(parts)).cast("int"))
-    counts = dict(rows.groupBy("__part").count().collect())  # at most MOST_PARTITIONS rows
+    rows, counts = _deal(rows, n, parts, seed, rows_per_partition)
     matrix = communication_matrix([counts.get(p, 0) for p in range(parts)], shards, seed)
     upto = np.cumsum(matrix, axis=1)
     spark = docs.sparkSession
     # proven bound: MOST_PARTITIONS rows of `shards` longs
     table = F.broadcast(spark.createDataFrame([(p, upto[p].tolist()) for p in range(parts)], "__part int, __upto array<long>"))
-    local = Window.partitionBy("__part").orderBy(_key(seed + 1), "__id", "__crc")
-    dealt = rows.withColumn("__r", F.row_number().over(local).cast("long")).join(table, "__part")
+    # equal rows are told apart by a number, or they would stay side by side
+    equal = Window.partitionBy("__part", "__id", "__crc").orderBy("__crc")
+    numbered = rows.withColumn("__o", F.row_number().over(equal))
+    local = Window.partitionBy("__part").orderBy(_key(seed + 1, F.col("__o")), "__id", "__crc", "__o")
+    dealt = numbered.withColumn("__r", F.row_number().over(local).cast("long")).join(table, "__part")
     dealt = dealt.withColumn("shard", F.size(F.filter("__upto", lambda x: x < F.col("__r"))).cast("int"))
     again = F.shiftrightunsigned(_key(seed + 2, F.col("__r")), 1)
     # uniform in [0, cells): the top bits of the second key
     dealt = dealt.withColumn("__key", again).withColumn("__cell", F.floor(F.shiftrightunsigned("__key", 32) * F.lit(cells) / F.lit(float(1 << 31))).cast("int"))
-    dealt = dealt.drop("__upto", "__part")
+    dealt = dealt.drop("__upto", "__part", "__o")
     sizes = dealt.groupBy("shard", "__cell").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
