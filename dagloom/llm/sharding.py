@@ -112,9 +112,10 @@ def _assign(docs: DataFrame, shards: int, seed: int, rows_per_partition: int) ->
     spark = docs.sparkSession
     # proven bound: MOST_PARTITIONS rows of `shards` longs
     table = F.broadcast(spark.createDataFrame([(p, upto[p].tolist()) for p in range(parts)], "__part int, __upto array<long>"))
-    # equal rows are told apart by a number, or they would stay side by side
+    # equal rows are told apart by a number, or they would stay side by side; one exchange by
+    # partition serves both windows
     equal = Window.partitionBy("__part", "__id", "__crc").orderBy("__crc")
-    numbered = rows.withColumn("__o", F.row_number().over(equal))
+    numbered = rows.repartition("__part").withColumn("__o", F.row_number().over(equal))
     local = Window.partitionBy("__part").orderBy(_key(seed + 1, F.col("__o")), "__id", "__crc", "__o")
     dealt = numbered.withColumn("__r", F.row_number().over(local).cast("long")).join(table, "__part")
     dealt = dealt.withColumn("shard", F.size(F.filter("__upto", lambda x: x < F.col("__r"))).cast("int"))
